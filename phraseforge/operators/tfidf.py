@@ -25,8 +25,9 @@ RANK_DECIMALS = 6
 def exact(x: Column) -> Column:
     """A score as DECIMAL(38, 9): sums of these are exact, so the result does not
     depend on the order in which partitions are added (long phrases sum
-    thousands of word scores, some above 1e6)."""
-    return F.round(x, 9).cast("decimal(38,9)")
+    thousands of word scores, some above 1e6).  The width is kept at 20 so a
+    product with a DECIMAL(9, 0) count keeps all 9 decimals."""
+    return F.round(x, 9).cast("decimal(20,9)")
 
 
 def n_docs(docs: DataFrame, id_col: str = "doc_id") -> Column:
@@ -59,13 +60,15 @@ def tfidf_words(tokens: DataFrame, n: Column) -> DataFrame:
 
 def phrase_scores(runs: DataFrame, word_scores: DataFrame) -> DataFrame:
     """A10: phrase score = sum of its tokens' scores (repeats count each time,
-    a word without a score counts 0).  Returns distinct (doc_id, phrase, score)."""
+    a word without a score counts 0).  Returns distinct (doc_id, phrase, score)
+    with ``score`` an exact DECIMAL(38, 9) sum of the word scores rounded to 9
+    places, so ranking and rounding do not depend on summation order."""
     cand = runs.select("doc_id", "phrase", "words").dropDuplicates(["doc_id", "phrase"])
     toks = cand.select("doc_id", "phrase", F.explode("words").alias("word"))
     toks = toks.groupBy("doc_id", "phrase", "word").agg(F.count("*").alias("m"))
     scored = toks.join(word_scores.select("doc_id", "word", "score"), ["doc_id", "word"], "left")
     return scored.groupBy("doc_id", "phrase").agg(
-        F.sum(F.col("m") * exact(F.coalesce(F.col("score"), F.lit(0.0)))).cast("double").alias("score"))
+        F.sum(F.col("m").cast("decimal(9,0)") * exact(F.coalesce(F.col("score"), F.lit(0.0)))).alias("score"))
 
 
 def top_k(df: DataFrame, k: int, key: str, score: str = "score", part: str = "doc_id",

@@ -42,7 +42,7 @@ ws AS (SELECT tf.doc_id, tf.word, tf.tf, dfreq.df, tf.tf * log2(ndocs.n / (1.0 +
 def phrase_score_cte(word_scores: str = "ws") -> str:
     """A10 over the W1 runs, then distinct (doc_id, phrase, score)."""
     return f"""
-run_scores AS (SELECT cw.doc_id, cw.island, CAST(sum(CAST(round(coalesce(s.score, 0), 9) AS DECIMAL(38, 9))) AS DOUBLE) AS score
+run_scores AS (SELECT cw.doc_id, cw.island, sum(CAST(round(coalesce(s.score, 0), 9) AS DECIMAL(38, 9))) AS score
                FROM cw LEFT JOIN {word_scores} s ON cw.doc_id = s.doc_id AND cw.word = s.word
                GROUP BY cw.doc_id, cw.island),
 pscore AS (SELECT c.doc_id, c.phrase, any_value(r.score) AS score
@@ -71,5 +71,130 @@ def oracles(top_k: int = 10) -> dict[str, str]:
                       "FROM tokens GROUP BY doc_id")
     q["tfidf_words"] = tok + "," + tfidf_cte() + "\nSELECT doc_id, word, tf, df, round(score, 6) AS score FROM ws"
     q["tfidf_phrases"] = (tok + "," + runs_cte() + "," + tfidf_cte() + "," + phrase_score_cte() +
-                          f"\nSELECT doc_id, rank, phrase, round(score, 6) AS score FROM {topk('pscore', top_k)}")
+                          f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
+    q.update(graph_oracles(top_k=top_k))
+    return q
+
+
+# --- graphs -----------------------------------------------------------------
+
+def pairs_cte(name: str, window: int, nodes_only: bool = True) -> str:
+    """``name(doc_id, src, dst, cnt)`` from lead() over each document."""
+    if nodes_only:
+        pre = (f"{name}_nodes AS (SELECT DISTINCT doc_id, word FROM tokens WHERE tag IN ({GOOD}) AND word <> ''),\n"
+               f"{name}_tn AS (SELECT t.doc_id, t.pos, n.word AS nw FROM tokens t LEFT JOIN {name}_nodes n "
+               f"ON t.doc_id = n.doc_id AND t.word = n.word),\n")
+    else:
+        pre = f"{name}_tn AS (SELECT doc_id, pos, word AS nw FROM tokens),\n"
+    leads = ", ".join(f"lead(nw, {k}) OVER (PARTITION BY doc_id ORDER BY pos) AS l{k}" for k in range(1, window + 1))
+    lw = f"{name}_lw AS (SELECT doc_id, nw, {leads} FROM {name}_tn),\n"
+    parts = []
+    for k in range(1, window + 1):
+        cond = f"nw IS NOT NULL AND l{k} IS NOT NULL"
+        parts.append(f"SELECT doc_id, nw AS src, l{k} AS dst FROM {name}_lw WHERE {cond}")
+        parts.append(f"SELECT doc_id, l{k} AS src, nw AS dst FROM {name}_lw WHERE {cond}")
+    body = " UNION ALL ".join(parts)
+    return pre + lw + f"{name} AS (SELECT doc_id, src, dst, count(*) AS cnt FROM ({body}) GROUP BY doc_id, src, dst)"
+
+
+def iterate_cte(ew: str, out: str, rounds: int = 20, damping: float = 0.85) -> str:
+    """J3 unrolled: out0 .. out{rounds}, each one Jacobi step over ``ew(doc_id, src, dst, w, base)``."""
+    parts = [f"{out}0 AS (SELECT DISTINCT doc_id, src AS word, CAST(1.0 AS DOUBLE) AS score FROM {ew})"]
+    for i in range(1, rounds + 1):
+        parts.append(
+            f"{out}{i} AS (SELECT e.doc_id, e.dst AS word, {damping} * sum(e.w * s.score) + any_value(e.base) AS score "
+            f"FROM {ew} e JOIN {out}{i - 1} s ON e.doc_id = s.doc_id AND e.src = s.word GROUP BY e.doc_id, e.dst)")
+    return ",\n".join(parts)
+
+
+def sr_cte(window: int) -> str:
+    return (pairs_cte("edges", window) + ",\n"
+            "sr_ew AS (SELECT doc_id, src, dst, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY doc_id, src) AS w, "
+            "0.15 / count(*) OVER (PARTITION BY doc_id) AS base FROM edges),\n" + iterate_cte("sr_ew", "sr"))
+
+
+def tr_cte(window: int) -> str:
+    return (pairs_cte("edges", window) + ",\n"
+            "tr_ew AS (SELECT doc_id, src, dst, 1.0 / count(*) OVER (PARTITION BY doc_id, src) AS w, "
+            "0.15 AS base FROM edges),\n" + iterate_cte("tr_ew", "tr"))
+
+
+def tr_select_cte(ratio: float) -> str:
+    """O2 + W2 + U4 over the TextRank scores ``tr20``."""
+    return f"""
+vcount AS (SELECT doc_id, count(DISTINCT word) AS v FROM tokens WHERE tag IN ({GOOD}) GROUP BY doc_id),
+sel AS (SELECT doc_id, word FROM (
+          SELECT s.doc_id, s.word, v.v, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(s.score, 6) DESC, s.word ASC) AS r
+          FROM tr20 s JOIN vcount v ON s.doc_id = v.doc_id WHERE s.score <> 0)
+        WHERE r <= ceil(v * {ratio!r})),
+sw AS (SELECT t.doc_id, t.pos, t.word, t.pos - row_number() OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS island
+       FROM tokens t SEMI JOIN sel s ON t.doc_id = s.doc_id AND t.word = s.word),
+sruns AS (SELECT doc_id, island, min(pos) AS start, string_agg(word, ' ' ORDER BY pos) AS phrase FROM sw GROUP BY doc_id, island),
+firsts AS (SELECT doc_id, phrase, min(start) AS first FROM sruns GROUP BY doc_id, phrase),
+fam AS (SELECT doc_id, phrase, first, regexp_replace(phrase, 's+$', '') AS root FROM firsts),
+fam_levels AS (SELECT doc_id, root, list_reduce(list(length(phrase) - length(root) ORDER BY first),
+                 lambda acc, l: CASE WHEN list_contains(acc, l - 1) OR list_contains(acc, l + 1) THEN acc ELSE list_append(acc, l) END,
+                 []::INTEGER[]) AS kept FROM fam GROUP BY doc_id, root),
+tr_kept AS (SELECT f.doc_id, f.first, f.phrase FROM fam f JOIN fam_levels k ON f.doc_id = k.doc_id AND f.root = k.root
+            WHERE list_contains(k.kept, CAST(length(f.phrase) - length(f.root) AS INTEGER)))"""
+
+
+def similar_cte(k: int) -> str:
+    """J4 + O3 over the TF-IDF vectors ``ws``: ``nbrs(doc_id, nbr_id, sim, rank)``."""
+    return f"""
+vnorm AS (SELECT doc_id, sqrt(sum(score * score)) AS norm FROM ws GROUP BY doc_id),
+nz AS (SELECT doc_id, word, score AS w FROM ws WHERE score <> 0),
+dots AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS dot FROM nz a JOIN nz b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY 1, 2),
+sims AS (SELECT d.a, d.b, CASE WHEN na.norm * nb.norm <> 0 THEN d.dot / (na.norm * nb.norm) ELSE 0.0 END AS sim
+         FROM dots d JOIN vnorm na ON na.doc_id = d.a JOIN vnorm nb ON nb.doc_id = d.b),
+vdocs AS (SELECT DISTINCT doc_id FROM ws),
+fill AS (SELECT doc_id FROM vdocs ORDER BY doc_id LIMIT {2 * k + 1}),
+cands AS (SELECT a AS doc_id, b AS nbr_id, sim FROM sims UNION ALL SELECT b, a, sim FROM sims
+          UNION ALL SELECT v.doc_id, f.doc_id, 0.0 FROM vdocs v CROSS JOIN fill f WHERE v.doc_id <> f.doc_id),
+nbrs AS (SELECT * FROM (SELECT doc_id, nbr_id, sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, nbr_id ASC) AS rank
+         FROM (SELECT doc_id, nbr_id, max(sim) AS sim FROM cands GROUP BY doc_id, nbr_id)) WHERE rank <= {k})"""
+
+
+def er_cte(window: int) -> str:
+    """J5 + base + iteration + isolated words: ``er_ew`` and ``erscores``."""
+    return (pairs_cte("edges", window) + ",\n" + pairs_cte("allp", window, nodes_only=False) + f""",
+er_add AS (SELECT e.doc_id, e.src, e.dst, sum(n.sim * a.cnt) AS extra FROM edges e JOIN nbrs n ON e.doc_id = n.doc_id
+           JOIN allp a ON a.doc_id = n.nbr_id AND a.src = e.src AND a.dst = e.dst GROUP BY e.doc_id, e.src, e.dst),
+er_w0 AS (SELECT e.doc_id, e.src, e.dst, e.cnt + coalesce(x.extra, 0) AS w0 FROM edges e
+          LEFT JOIN er_add x ON e.doc_id = x.doc_id AND e.src = x.src AND e.dst = x.dst),
+er_v AS (SELECT doc_id, count(DISTINCT word) AS v FROM tokens WHERE tag IN ({GOOD}) AND word <> '' GROUP BY doc_id),
+er_e AS (SELECT doc_id, count(*) AS n_edges FROM edges GROUP BY doc_id),
+er_base AS (SELECT v.doc_id, 0.15 / (v.v + coalesce(e.n_edges, 0)) AS base FROM er_v v LEFT JOIN er_e e ON v.doc_id = e.doc_id),
+er_ew AS (SELECT w.doc_id, w.src, w.dst,
+                 CASE WHEN sum(w0) OVER (PARTITION BY w.doc_id, w.src) <> 0 THEN w0 / sum(w0) OVER (PARTITION BY w.doc_id, w.src) ELSE 0.0 END AS w,
+                 b.base FROM er_w0 w JOIN er_base b ON w.doc_id = b.doc_id),
+""" + iterate_cte("er_ew", "er") + f""",
+er_nodes AS (SELECT DISTINCT doc_id, src AS word FROM er_ew),
+er_iso AS (SELECT DISTINCT t.doc_id, t.word FROM tokens t ANTI JOIN er_nodes n ON t.doc_id = n.doc_id AND t.word = n.word
+           WHERE t.tag IN ({GOOD}) AND t.word <> ''),
+er_long AS (SELECT doc_id FROM tokens GROUP BY doc_id HAVING count(*) >= 2),
+er_nw AS (SELECT DISTINCT t.doc_id AS nbr_id, t.word FROM tokens t SEMI JOIN er_long l ON t.doc_id = l.doc_id),
+er_seen AS (SELECT DISTINCT i.doc_id, i.word FROM er_iso i JOIN nbrs n ON i.doc_id = n.doc_id
+            JOIN er_nw w ON w.nbr_id = n.nbr_id AND w.word = i.word),
+erscores AS (SELECT doc_id, word, score FROM er20
+             UNION ALL SELECT s.doc_id, s.word, b.base AS score FROM er_seen s JOIN er_base b ON s.doc_id = b.doc_id)""")
+
+
+def graph_oracles(window: int = 2, ratio: float = 1.0 / 3.0, k: int = 5, top_k: int = 10) -> dict[str, str]:
+    tok = "WITH " + tokens_cte() + ",\n"
+    q: dict[str, str] = {}
+    q["cooccurrence_edges"] = tok + pairs_cte("edges", window) + "\nSELECT doc_id, src, dst, cnt FROM edges"
+    q["edge_counts"] = tok + pairs_cte("edges", window) + "\nSELECT doc_id, count(*) AS n_edges FROM edges GROUP BY doc_id"
+    q["edge_weights"] = tok + sr_cte(window) + "\nSELECT doc_id, src, dst, round(w, 6) AS w FROM sr_ew"
+    q["singlerank_scores"] = tok + sr_cte(window) + "\nSELECT doc_id, word, round(score, 6) AS score FROM sr20"
+    q["singlerank_phrases"] = (tok + sr_cte(window) + "," + runs_cte() + "," + phrase_score_cte("sr20") +
+                               f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
+    q["textrank_scores"] = tok + tr_cte(window) + "\nSELECT doc_id, word, round(score, 6) AS score FROM tr20"
+    q["textrank_phrases"] = (tok + tr_cte(window) + "," + tr_select_cte(ratio) +
+                             "\nSELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS rank, phrase FROM tr_kept")
+    sim = tok + tfidf_cte() + "," + similar_cte(k)
+    q["similar_documents"] = sim + "\nSELECT doc_id, rank, nbr_id, round(sim, 6) AS sim FROM nbrs"
+    q["expandrank_edges"] = sim + ",\n" + er_cte(window) + "\nSELECT doc_id, src, dst, round(w, 6) AS w FROM er_ew"
+    q["expandrank_phrases"] = (sim + ",\n" + er_cte(window) + "," + runs_cte() + "," + phrase_score_cte("erscores") +
+                               f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
     return q

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phraseforge.operators import graph as G
+from phraseforge.operators import similarity as S
 from phraseforge.operators import tfidf as T
 from phraseforge.operators import tokens as K
 from phraseforge.sources.tables import table
@@ -74,7 +76,68 @@ def q_tfidf_words(spark, sf_dir):
 def q_tfidf_phrases(spark, sf_dir, k: int = TOP_K):
     docs = _docs(spark, sf_dir)
     p = T.tfidf_phrases(K.tokens_from_text(docs), T.n_docs(docs), k)
-    return p.select("doc_id", "rank", "phrase", F.round("score", R).alias("score"))
+    return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
+
+
+def q_cooccurrence_edges(spark, sf_dir, window: int = WINDOW):
+    """Ordered co-occurrence counts between graph nodes."""
+    return G.cooccurrence_pairs(_tokens(spark, sf_dir), window)
+
+
+def q_edge_counts(spark, sf_dir, window: int = WINDOW):
+    """Distinct directed edges per document."""
+    return G.edge_count(G.cooccurrence_pairs(_tokens(spark, sf_dir), window))
+
+
+def q_edge_weights(spark, sf_dir, window: int = WINDOW):
+    """Row-normalised SingleRank weights."""
+    e = G.singlerank_edges(_tokens(spark, sf_dir), window)
+    return e.select("doc_id", "src", "dst", F.round("w", R).alias("w"))
+
+
+def q_singlerank_scores(spark, sf_dir, window: int = WINDOW):
+    s = G.singlerank_scores(_tokens(spark, sf_dir), window)
+    return s.select("doc_id", "word", F.round("score", R).alias("score"))
+
+
+def q_singlerank_phrases(spark, sf_dir, window: int = WINDOW, k: int = TOP_K):
+    p = G.singlerank_phrases(_tokens(spark, sf_dir), window, k)
+    return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
+
+
+def q_textrank_scores(spark, sf_dir, window: int = WINDOW):
+    s = G.textrank_scores(_tokens(spark, sf_dir), window)
+    return s.select("doc_id", "word", F.round("score", R).alias("score"))
+
+
+def q_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = RATIO):
+    return G.textrank_phrases(_tokens(spark, sf_dir), window, ratio)
+
+
+def _neighbours(spark, sf_dir, k: int):
+    docs = _docs(spark, sf_dir)
+    tokens = K.tokens_from_text(docs)
+    vec = T.tfidf_words(tokens, T.n_docs(docs))
+    return tokens, S.similar_documents(vec, k)
+
+
+def q_similar_documents(spark, sf_dir, k: int = NEIGHBOURS):
+    """K nearest documents by TF-IDF cosine."""
+    _, nb = _neighbours(spark, sf_dir, k)
+    return nb.select("doc_id", "rank", "nbr_id", F.round("sim", R).alias("sim"))
+
+
+def q_expandrank_edges(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS):
+    """Own graph plus neighbour-weighted pair counts, normalised."""
+    tokens, nb = _neighbours(spark, sf_dir, k)
+    e = G.expandrank_edges(tokens, nb, window)
+    return e.select("doc_id", "src", "dst", F.round("w", R).alias("w"))
+
+
+def q_expandrank_phrases(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS, top: int = TOP_K):
+    tokens, nb = _neighbours(spark, sf_dir, k)
+    p = G.expandrank_phrases(tokens, nb, window, top)
+    return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -88,4 +151,14 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "doc_vocab": q_doc_vocab,
         "tfidf_words": q_tfidf_words,
         "tfidf_phrases": q_tfidf_phrases,
+        "cooccurrence_edges": q_cooccurrence_edges,
+        "edge_counts": q_edge_counts,
+        "edge_weights": q_edge_weights,
+        "singlerank_scores": q_singlerank_scores,
+        "singlerank_phrases": q_singlerank_phrases,
+        "textrank_scores": q_textrank_scores,
+        "textrank_phrases": q_textrank_phrases,
+        "similar_documents": q_similar_documents,
+        "expandrank_edges": q_expandrank_edges,
+        "expandrank_phrases": q_expandrank_phrases,
     }
