@@ -102,10 +102,15 @@ def ngrams(tokens, n_min: int, n_max: int) -> Column:
     ``sequence`` from counting down for short token lists.
     """
     t = _c(tokens)
+
+    def gram(n):
+        # one-argument lambda: F.transform passes (element, index) to two-argument ones
+        return lambda i: F.array_join(F.slice(t, i + 1, n), " ")
+
     parts = []
     for n in range(n_min, n_max + 1):
         starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(t, i + 1, n), " ")))
+        parts.append(F.transform(starts, gram(n)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

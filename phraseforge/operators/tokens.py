@@ -19,9 +19,21 @@ from phraseforge.functions.tagging import fixture_tag, token_array
 from phraseforge.functions.text import is_good_pos, is_markup, split_nonempty
 
 
+def by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) hash-partitioned by doc_id into ``spark.sql.shuffle.partitions``.
+
+    The count is explicit on purpose: AQE would coalesce a by-column
+    repartition by its *input* bytes, and compact text expands into far more
+    token work than its size suggests (at sf0.01 it merged everything into one
+    task)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return d.repartition(n, "doc_id")
+
+
 def tokens_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Untagged text -> fixture-tagged tokens (see :mod:`phraseforge.functions.tagging`)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    d = by_document(docs, id_col, text_col)
     t = d.select("doc_id", F.posexplode(token_array("text")).alias("pos", "word"))
     return t.select("doc_id", "pos", "word", fixture_tag("word").alias("tag"))
 
@@ -39,7 +51,7 @@ def parse_tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     word = tag = the token); the word is trimmed and lower-cased, the tag kept;
     markup words (F2) are dropped and take no position.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    d = by_document(docs, id_col, text_col)
 
     def parse(tok):
         has = tok.contains("_")

@@ -7,7 +7,7 @@ rebuilt in SQL with the same fixture rule as the Spark side (DuckDB lists are
 
 from __future__ import annotations
 
-from phraseforge.functions.tagging import sql_fixture_tag, sql_token_array
+from phraseforge.functions.tagging import DT_WORDS, sql_fixture_tag, sql_token_array
 from phraseforge.functions.text import GOOD_POS
 
 GOOD = ", ".join(f"'{t}'" for t in GOOD_POS)
@@ -73,6 +73,7 @@ def oracles(top_k: int = 10) -> dict[str, str]:
     q["tfidf_phrases"] = (tok + "," + runs_cte() + "," + tfidf_cte() + "," + phrase_score_cte() +
                           f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
     q.update(graph_oracles(top_k=top_k))
+    q.update(ngram_oracles(DT_WORDS, top_k=top_k))
     return q
 
 
@@ -198,3 +199,92 @@ def graph_oracles(window: int = 2, ratio: float = 1.0 / 3.0, k: int = 5, top_k:
     q["expandrank_phrases"] = (sim + ",\n" + er_cte(window) + "," + runs_cte() + "," + phrase_score_cte("erscores") +
                                f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
     return q
+
+
+# --- n-gram TF-IDF ----------------------------------------------------------
+
+def ngram_cte(stopwords) -> str:
+    """``terms(doc_id, terms)`` and ``ng(doc_id, n, term)`` for n = 1..3."""
+    sw = ", ".join(f"'{w}'" for w in stopwords)
+    return f"""
+nw AS (SELECT doc_id, regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]+') AS ws FROM documents),
+nct AS (SELECT doc_id, list_filter(list_transform(list_filter(ws, lambda x: x <> ''),
+                 lambda w: lower(regexp_replace(w, '\\W+|\\d+', '', 'g'))), lambda x: x <> '') AS toks FROM nw),
+nst AS (SELECT doc_id, generate_subscripts(toks, 1) AS i, unnest(toks) AS stem FROM nct),
+nkept AS (SELECT stem FROM nst GROUP BY stem HAVING count(*) > 3),
+ntt AS (SELECT s.doc_id, s.i, s.stem FROM nst s SEMI JOIN nkept k ON s.stem = k.stem
+        WHERE length(s.stem) >= 2 AND s.stem NOT IN ({sw})),
+terms AS (SELECT doc_id, list(stem ORDER BY i) AS terms FROM ntt GROUP BY doc_id),
+ng AS (SELECT doc_id, 1 AS n, unnest(terms) AS term FROM terms
+       UNION ALL SELECT doc_id, 2 AS n, array_to_string(list_slice(terms, s, s + 1), ' ') FROM
+         (SELECT doc_id, terms, unnest(generate_series(1, len(terms) - 1)) AS s FROM terms WHERE len(terms) >= 2)
+       UNION ALL SELECT doc_id, 3 AS n, array_to_string(list_slice(terms, s, s + 2), ' ') FROM
+         (SELECT doc_id, terms, unnest(generate_series(1, len(terms) - 2)) AS s FROM terms WHERE len(terms) >= 3))"""
+
+
+def local_tfidf_cte(n_min: int, n_max: int) -> str:
+    return f"""
+nn AS (SELECT count(*) AS n FROM documents),
+ncnt AS (SELECT doc_id, term, count(*) AS tf FROM ng WHERE n BETWEEN {n_min} AND {n_max} GROUP BY doc_id, term),
+ndf AS (SELECT term, count(*) AS df FROM ncnt GROUP BY term HAVING count(*) BETWEEN 2 AND 1000),
+nw0 AS (SELECT c.doc_id, c.term, c.tf * (ln((1.0 + nn.n) / (1.0 + d.df)) + 1.0) AS w FROM ncnt c JOIN ndf d ON c.term = d.term CROSS JOIN nn),
+loc AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM nw0)"""
+
+
+def global_cte() -> str:
+    parts = []
+    for n, thr in ((1, 0.01), (2, 0.005), (3, 0.005)):
+        parts.append(f"SELECT term, {n} AS n, c / (SELECT sqrt(sum(c * c)) FROM (SELECT count(*) AS c FROM ng WHERE n = {n} GROUP BY term)) AS g "
+                     f"FROM (SELECT term, count(*) AS c FROM ng WHERE n = {n} GROUP BY term) WHERE g > {thr}")
+    return "\ngboost AS (" + " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts) + ")"
+
+
+def top_terms_sql(src: str, k: int) -> str:
+    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(z, 9) DESC, round(x, 9) DESC, term DESC) AS rank "
+            f"FROM {src} WHERE length(term) > 2) WHERE rank <= {k})")
+
+
+def ngram_oracles(stopwords, k: int = 20, gold_k: int = 5, top_k: int = 10) -> dict[str, str]:
+    q: dict[str, str] = {}
+    base = "WITH " + ngram_cte(stopwords)
+    q["corpus_frequency"] = (base.replace("nkept AS", "nfreq AS (SELECT stem, count(*) AS n FROM nst GROUP BY stem),\nnkept AS") +
+                             "\nSELECT stem, n, n > 3 AS kept FROM nfreq")
+    q["surface_forms"] = base + "\nSELECT stem, array_to_string(list_sort(list_distinct(list(stem))), ',') AS forms FROM nst GROUP BY stem"
+    q["ngram_counts"] = base + "\nSELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM ng GROUP BY doc_id, term"
+    q["ngram_tfidf"] = (base + "," + local_tfidf_cte(1, 1) +
+                        f"\nSELECT doc_id, rank, term, round(x, 6) AS x FROM {top_terms_sql('(SELECT doc_id, term, x, x AS z FROM loc)', k)}")
+    q["global_ngrams"] = base + "," + global_cte() + "\nSELECT term, n, round(g, 6) AS g FROM gboost"
+    boosted = ("(SELECT l.doc_id, l.term, l.x, l.x + coalesce(g.g, 0) AS z FROM loc l LEFT JOIN gboost g ON l.term = g.term)")
+    q["ngram_tfidf_boosted"] = (base + "," + local_tfidf_cte(1, 3) + "," + global_cte() +
+                                f"\nSELECT replace(CAST(doc_id AS VARCHAR), '\\', '_') AS file_id, rank, "
+                                f"concat_ws(',', term, CAST(round(z, 4) AS VARCHAR), CAST(round(x, 4) AS VARCHAR)) AS line, "
+                                f"round(z, 6) AS z, round(x, 6) AS x FROM {top_terms_sql(boosted, k)}")
+    # evaluation over the fixture gold and the M0 predictions
+    ev = ("WITH " + tokens_cte() + "," + runs_cte() + "," + tfidf_cte() + "," + phrase_score_cte() + f""",
+cands AS (SELECT doc_id, phrase, count(*) AS n FROM cand GROUP BY doc_id, phrase),
+gold AS (SELECT doc_id, phrase FROM {topk('cands', gold_k, score='n')}),
+pred AS (SELECT doc_id, phrase FROM {topk('pscore', top_k)})""")
+    q["eval_micro"] = ev + """,
+pv AS (SELECT DISTINCT doc_id, phrase, unnest([phrase, phrase || 's', regexp_replace(phrase, 's$', '')]) AS key FROM pred),
+hits AS (SELECT DISTINCT pv.doc_id, pv.phrase FROM pv SEMI JOIN gold g ON pv.doc_id = g.doc_id AND pv.key = g.phrase),
+c AS (SELECT (SELECT count(*) FROM hits) AS matched, (SELECT count(*) FROM (SELECT DISTINCT doc_id, phrase FROM pred)) AS predicted,
+             (SELECT count(*) FROM (SELECT DISTINCT doc_id, phrase FROM gold)) AS total_keys)
+SELECT matched, predicted, total_keys,
+       round(CASE WHEN predicted > 0 THEN 100.0 * matched / predicted END, 6) AS precision,
+       round(CASE WHEN total_keys > 0 THEN 100.0 * matched / total_keys END, 6) AS recall,
+       round(CASE WHEN matched > 0 THEN 2 * (100.0 * matched / predicted) * (100.0 * matched / total_keys)
+                  / ((100.0 * matched / predicted) + (100.0 * matched / total_keys)) END, 6) AS f1 FROM c"""
+    q["eval_macro"] = ev + """,
+gn AS (SELECT doc_id, array_to_string(string_split(lower(phrase), ' '), ' ') AS norm FROM gold),
+pn AS (SELECT DISTINCT doc_id, array_to_string(string_split(lower(phrase), ' '), ' ') AS norm FROM pred),
+npred AS (SELECT doc_id, count(*) AS n_pred FROM pred GROUP BY doc_id),
+hit AS (SELECT g.doc_id, count(*) AS hits FROM gn g SEMI JOIN pn p ON g.doc_id = p.doc_id AND g.norm = p.norm GROUP BY g.doc_id),
+per AS (SELECT g.doc_id, least(1.0, coalesce(coalesce(h.hits, 0) / nullif(coalesce(n.n_pred, 0), 0), 0.0)) AS p,
+               coalesce(h.hits, 0) / g.n_gold AS r
+        FROM (SELECT doc_id, count(*) AS n_gold FROM gn GROUP BY doc_id) g
+        LEFT JOIN npred n ON g.doc_id = n.doc_id LEFT JOIN hit h ON g.doc_id = h.doc_id)
+SELECT count(*) AS n_docs, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) AS f1 FROM per"""
+    q["gold_keys"] = ("WITH gl AS (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))), ' ' || chr(9))) AS phrase FROM documents)\n"
+                      "SELECT DISTINCT doc_id, phrase FROM gl WHERE phrase <> ''")
+    return q

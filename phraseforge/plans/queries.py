@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phraseforge.functions.tagging import DT_WORDS
+from phraseforge.operators import evaluate as V
 from phraseforge.operators import graph as G
+from phraseforge.operators import ngrams as N
 from phraseforge.operators import similarity as S
 from phraseforge.operators import tfidf as T
 from phraseforge.operators import tokens as K
@@ -23,6 +26,7 @@ WINDOW = 2          # co-occurrence window (M1-M3)
 RATIO = 1.0 / 3.0   # TextRank selection ratio (M1)
 NEIGHBOURS = 5      # ExpandRank neighbour count (M3, M10)
 GOLD_PER_DOC = 5    # fixture gold: most frequent candidate phrases per doc (M7, M8)
+NGRAM_TOP_K = 20    # terms per document (M4)
 # ----------------------------------------------------------------------------
 
 R = 6  # decimals kept in compared doubles
@@ -95,23 +99,33 @@ def q_edge_weights(spark, sf_dir, window: int = WINDOW):
     return e.select("doc_id", "src", "dst", F.round("w", R).alias("w"))
 
 
+def _ranked(spark, sf_dir, window):
+    """Tokens plus the iteration layout proven safe for these documents."""
+    docs = _docs(spark, sf_dir)
+    return K.tokens_from_text(docs), G.choose_method(docs, window)
+
+
 def q_singlerank_scores(spark, sf_dir, window: int = WINDOW):
-    s = G.singlerank_scores(_tokens(spark, sf_dir), window)
+    tokens, method = _ranked(spark, sf_dir, window)
+    s = G.singlerank_scores(tokens, window, method)
     return s.select("doc_id", "word", F.round("score", R).alias("score"))
 
 
 def q_singlerank_phrases(spark, sf_dir, window: int = WINDOW, k: int = TOP_K):
-    p = G.singlerank_phrases(_tokens(spark, sf_dir), window, k)
+    tokens, method = _ranked(spark, sf_dir, window)
+    p = G.singlerank_phrases(tokens, window, k, method)
     return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
 def q_textrank_scores(spark, sf_dir, window: int = WINDOW):
-    s = G.textrank_scores(_tokens(spark, sf_dir), window)
+    tokens, method = _ranked(spark, sf_dir, window)
+    s = G.textrank_scores(tokens, window, method)
     return s.select("doc_id", "word", F.round("score", R).alias("score"))
 
 
 def q_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = RATIO):
-    return G.textrank_phrases(_tokens(spark, sf_dir), window, ratio)
+    tokens, method = _ranked(spark, sf_dir, window)
+    return G.textrank_phrases(tokens, window, ratio, method)
 
 
 def _neighbours(spark, sf_dir, k: int):
@@ -136,10 +150,83 @@ def q_expandrank_edges(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS)
 
 def q_expandrank_phrases(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS, top: int = TOP_K):
     tokens, nb = _neighbours(spark, sf_dir, k)
-    p = G.expandrank_phrases(tokens, nb, window, top)
+    p = G.expandrank_phrases(tokens, nb, window, top, G.choose_method(_docs(spark, sf_dir), window))
     return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
+def _stopwords(spark):
+    """Stopword table for the n-gram jobs: the fixture's fixed DT word list."""
+    return spark.createDataFrame([(w,) for w in DT_WORDS], "word string")
+
+
+def q_corpus_frequency(spark, sf_dir):
+    """A3 + F6: corpus-wide stem counts and the > 3 filter."""
+    return N.corpus_frequency(_docs(spark, sf_dir))
+
+
+def q_surface_forms(spark, sf_dir):
+    """A4: tokens per stem."""
+    f = N.surface_forms(_docs(spark, sf_dir))
+    return f.select("stem", F.array_join("forms", ",").alias("forms"))
+
+
+def q_ngram_counts(spark, sf_dir):
+    """1- to 3-gram counts per document after F5/F6."""
+    terms = N.term_tokens(_docs(spark, sf_dir), _stopwords(spark))
+    return N.ngram_counts(terms, 1, 3)
+
+
+def q_ngram_tfidf(spark, sf_dir, k: int = NGRAM_TOP_K):
+    """M4 as the reference's main call: 1-grams, no boost, top 20."""
+    local = N.ngram_tfidf(_docs(spark, sf_dir), 1, 1, _stopwords(spark))
+    t = N.top_terms(local, None, k)
+    return t.select("doc_id", "rank", "term", F.round("x", R).alias("x"))
+
+
+def q_global_ngrams(spark, sf_dir):
+    """O6 + F8: corpus-level n-gram scores above their thresholds."""
+    g = N.global_ngrams(_docs(spark, sf_dir), _stopwords(spark))
+    return g.select("term", "n", F.round("g", R).alias("g"))
+
+
+def q_ngram_tfidf_boosted(spark, sf_dir, k: int = NGRAM_TOP_K):
+    """J9 + O4 + F9 + K2: 1- to 3-grams plus the global boost, written as lines."""
+    docs, sw = _docs(spark, sf_dir), _stopwords(spark)
+    t = N.top_terms(N.ngram_tfidf(docs, 1, 3, sw), N.global_ngrams(docs, sw), k)
+    lines = N.scored_term_lines(t)
+    return lines.join(t.select(F.col("doc_id").cast("string").alias("file_id"), "rank",
+                               F.round("z", R).alias("z"), F.round("x", R).alias("x")), ["file_id", "rank"])
+
+
+def _fixture_gold_and_pred(spark, sf_dir):
+    """Fixture gold: each document's 5 most frequent candidate phrases (ties by
+    phrase); predictions: the top-10 TF-IDF phrases (M0)."""
+    docs = _docs(spark, sf_dir)
+    tokens = K.tokens_from_text(docs)
+    gold = T.top_k(K.candidate_phrases(tokens), GOLD_PER_DOC, "phrase", score="n").select("doc_id", "phrase")
+    pred = T.tfidf_phrases(tokens, T.n_docs(docs), TOP_K).select("doc_id", "phrase")
+    return gold, pred
+
+
+def q_eval_micro(spark, sf_dir):
+    gold, pred = _fixture_gold_and_pred(spark, sf_dir)
+    m = V.micro_scores(pred, gold)
+    return m.select("matched", "predicted", "total_keys",
+                    *[F.round(c, R).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def q_eval_macro(spark, sf_dir):
+    gold, pred = _fixture_gold_and_pred(spark, sf_dir)
+    m = V.macro_scores(pred, gold)
+    return m.select("n_docs", *[F.round(c, R).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def q_gold_keys(spark, sf_dir):
+    """S3 + U3: every text line read as a gold keyphrase line."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return V.gold_from_lines(lines)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tagged_tokens": q_tagged_tokens,
@@ -161,4 +248,13 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "similar_documents": q_similar_documents,
         "expandrank_edges": q_expandrank_edges,
         "expandrank_phrases": q_expandrank_phrases,
+        "corpus_frequency": q_corpus_frequency,
+        "surface_forms": q_surface_forms,
+        "ngram_counts": q_ngram_counts,
+        "ngram_tfidf": q_ngram_tfidf,
+        "global_ngrams": q_global_ngrams,
+        "ngram_tfidf_boosted": q_ngram_tfidf_boosted,
+        "eval_micro": q_eval_micro,
+        "eval_macro": q_eval_macro,
+        "gold_keys": q_gold_keys,
     }
