@@ -44,7 +44,8 @@ def trim_space_tab(s) -> Column:
 
 def py_strip(s) -> Column:
     """X2 (Python variant): ``str.strip()`` -- all ASCII whitespace."""
-    return F.regexp_replace(_c(s), "^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", "")
+    ws = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]"
+    return F.regexp_replace(_c(s), f"^{ws}+|{ws}+$", "")
 
 
 def split_nonempty(s, pattern: str = "[ \\t\\r\\n]+") -> Column:

@@ -51,7 +51,7 @@ pscore AS (SELECT c.doc_id, c.phrase, any_value(r.score) AS score
 
 
 def topk(src: str, k: int, key: str = "phrase", score: str = "score", part: str = "doc_id") -> str:
-    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round({score}, 6) DESC, {key} ASC) AS rank "
+    return (f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY round({score}, 6) DESC, {key} ASC) AS INTEGER) AS rank "
             f"FROM {src}) WHERE rank <= {k})")
 
 
@@ -74,6 +74,7 @@ def oracles(top_k: int = 10) -> dict[str, str]:
                           f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
     q.update(graph_oracles(top_k=top_k))
     q.update(ngram_oracles(DT_WORDS, top_k=top_k))
+    q.update(misc_oracles(DT_WORDS, top_k=top_k))
     return q
 
 
@@ -152,7 +153,7 @@ vdocs AS (SELECT DISTINCT doc_id FROM ws),
 fill AS (SELECT doc_id FROM vdocs ORDER BY doc_id LIMIT {2 * k + 1}),
 cands AS (SELECT a AS doc_id, b AS nbr_id, sim FROM sims UNION ALL SELECT b, a, sim FROM sims
           UNION ALL SELECT v.doc_id, f.doc_id, 0.0 FROM vdocs v CROSS JOIN fill f WHERE v.doc_id <> f.doc_id),
-nbrs AS (SELECT * FROM (SELECT doc_id, nbr_id, sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, nbr_id ASC) AS rank
+nbrs AS (SELECT * FROM (SELECT doc_id, nbr_id, sim, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, nbr_id ASC) AS INTEGER) AS rank
          FROM (SELECT doc_id, nbr_id, max(sim) AS sim FROM cands GROUP BY doc_id, nbr_id)) WHERE rank <= {k})"""
 
 
@@ -192,7 +193,7 @@ def graph_oracles(window: int = 2, ratio: float = 1.0 / 3.0, k: int = 5, top_k:
                                f"\nSELECT doc_id, rank, phrase, CAST(round(score, 6) AS DOUBLE) AS score FROM {topk('pscore', top_k)}")
     q["textrank_scores"] = tok + tr_cte(window) + "\nSELECT doc_id, word, round(score, 6) AS score FROM tr20"
     q["textrank_phrases"] = (tok + tr_cte(window) + "," + tr_select_cte(ratio) +
-                             "\nSELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS rank, phrase FROM tr_kept")
+                             "\nSELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) AS INTEGER) AS rank, phrase FROM tr_kept")
     sim = tok + tfidf_cte() + "," + similar_cte(k)
     q["similar_documents"] = sim + "\nSELECT doc_id, rank, nbr_id, round(sim, 6) AS sim FROM nbrs"
     q["expandrank_edges"] = sim + ",\n" + er_cte(window) + "\nSELECT doc_id, src, dst, round(w, 6) AS w FROM er_ew"
@@ -240,7 +241,7 @@ def global_cte() -> str:
 
 
 def top_terms_sql(src: str, k: int) -> str:
-    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(z, 9) DESC, round(x, 9) DESC, term DESC) AS rank "
+    return (f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(z, 9) DESC, round(x, 9) DESC, term DESC) AS INTEGER) AS rank "
             f"FROM {src} WHERE length(term) > 2) WHERE rank <= {k})")
 
 
@@ -288,3 +289,80 @@ SELECT count(*) AS n_docs, round(avg(p), 6) AS precision, round(avg(r), 6) AS re
     q["gold_keys"] = ("WITH gl AS (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))), ' ' || chr(9))) AS phrase FROM documents)\n"
                       "SELECT DISTINCT doc_id, phrase FROM gl WHERE phrase <> ''")
     return q
+
+
+# --- dictionary, positions, text functions, sets, vectors ---------------------
+
+WS = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]+"
+
+
+def _punct_sql() -> str:
+    from phraseforge.functions.text import PUNCTUATION
+    return PUNCTUATION.replace("'", "''")
+
+
+def misc_oracles(stopwords, gold_k: int = 5, top_k: int = 10, nearest: int = 3) -> dict[str, str]:
+    sw = ", ".join(f"'{w}'" for w in stopwords)
+    pu = _punct_sql()
+    q: dict[str, str] = {}
+    grams = lambda src, col: (  # noqa: E731  1..3-grams of list column `col` as (…, s0, n, g)
+        f"SELECT *, s - 1 AS s0, 1 AS n, t1 AS g FROM (SELECT *, generate_subscripts({col}, 1) AS s, unnest({col}) AS t1 FROM {src})\n"
+        f"UNION ALL SELECT *, s - 1, 2, array_to_string(list_slice({col}, s, s + 1), ' ') FROM "
+        f"(SELECT *, unnest(generate_series(1, len({col}) - 1)) AS s, NULL AS t1 FROM {src} WHERE len({col}) >= 2)\n"
+        f"UNION ALL SELECT *, s - 1, 3, array_to_string(list_slice({col}, s, s + 2), ' ') FROM "
+        f"(SELECT *, unnest(generate_series(1, len({col}) - 2)) AS s, NULL AS t1 FROM {src} WHERE len({col}) >= 3)")
+    q["dictionary_matches"] = f"""WITH
+bt AS (SELECT list_filter(regexp_split_to_array(translate(lower(text), '{pu}', ''), '{WS}'), lambda x: x <> '') AS t FROM benchmark),
+blines AS (SELECT g AS line FROM ({grams('bt', 't')})),
+dict AS (SELECT DISTINCT array_to_string(list_transform(toks, lambda w: CASE WHEN length(w) > 2
+             THEN regexp_replace(w, '[^\\x09-\\x0D\\x20-\\x7E]', '', 'g') ELSE w END), ' ') AS phrase
+         FROM (SELECT list_filter(regexp_split_to_array(lower(line), '{WS}'), lambda x: x <> '') AS toks FROM blines
+               WHERE lower(line) NOT IN ({sw})) WHERE len(toks) > 0),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), '{pu}', ''), '{WS}'), lambda x: x <> '') AS t FROM documents),
+dpos AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS term FROM dw),
+dterms AS (SELECT doc_id, list(term ORDER BY i) AS terms FROM dpos WHERE term NOT IN ({sw}) GROUP BY doc_id),
+dg AS ({grams('dterms', 'terms')})
+SELECT doc_id, n, CAST(s0 AS INTEGER) AS pos, g AS phrase FROM dg SEMI JOIN dict ON dg.g = dict.phrase"""
+    tok = sql_token_array("text")
+    q["phrase_positions"] = f"""WITH
+dt AS (SELECT doc_id, {tok} AS t FROM documents),
+bt AS (SELECT item_id, {tok} AS p FROM benchmark WHERE len({tok}) > 0),
+dpos AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS tok FROM dt),
+cand AS (SELECT d.doc_id, d.i, b.item_id FROM dpos d JOIN bt b ON d.tok = b.p[1])
+SELECT c.doc_id, c.item_id, CAST(c.i - 1 AS INTEGER) AS pos FROM cand c JOIN dt ON c.doc_id = dt.doc_id JOIN bt ON c.item_id = bt.item_id
+WHERE list_slice(dt.t, c.i, c.i + len(bt.p) - 1) = bt.p"""
+    q["redundancy_filter"] = ("WITH " + tokens_cte() + "," + runs_cte() + """,
+cands AS (SELECT DISTINCT doc_id, phrase FROM cand),
+red AS (SELECT DISTINCT a.doc_id, a.phrase FROM cands a JOIN cands b ON a.doc_id = b.doc_id AND a.phrase <> b.phrase
+        AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' '))
+SELECT c.doc_id, c.phrase FROM cands c ANTI JOIN red r ON c.doc_id = r.doc_id AND c.phrase = r.phrase""")
+    q["ascii_filter"] = "SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS is_ascii FROM documents"
+    wsc = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]"
+    q["text_normalise"] = f"""SELECT doc_id,
+  regexp_replace(text, '^{wsc}+|{wsc}+$', '', 'g') AS stripped,
+  regexp_replace(lower(text), '\\W+|\\d+', '', 'g') AS no_symbols,
+  translate(lower(text), '{pu}', '') AS no_punct,
+  regexp_replace(text, '[^\\x09-\\x0D\\x20-\\x7E]', '', 'g') AS printable,
+  regexp_replace(text, ' +', ' ', 'g') AS collapsed,
+  array_to_string(list_transform(string_split(lower(text), ' '), lambda x: regexp_replace(x, '\\W+|\\d+', '', 'g')), ' ') AS normalised
+FROM documents"""
+    q["bag_of_words"] = ("SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term "
+                         "FROM documents) GROUP BY doc_id, term")
+    q["corpus_union"] = ("SELECT 'documents' AS corpus, doc_id AS id, CAST(0 AS BIGINT) AS part, text FROM documents\n"
+                         "UNION ALL SELECT 'pages', page_id, CAST(0 AS BIGINT), html FROM pages\n"
+                         "UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations")
+    gold = ("WITH " + tokens_cte() + "," + runs_cte() + f""",
+cands AS (SELECT doc_id, phrase, count(*) AS n FROM cand GROUP BY doc_id, phrase),
+gold AS {topk('cands', gold_k, score='n')}""")
+    q["distinct_keywords"] = gold + "\nSELECT DISTINCT phrase FROM gold"
+    q["gold_alternatives"] = (gold + "\nSELECT doc_id, CAST(rank - 1 AS INTEGER) AS key_pos, 0 AS alt_pos, phrase FROM gold"
+                              "\nUNION ALL SELECT doc_id, CAST(rank - 1 AS INTEGER), 1, phrase || 's' FROM gold")
+    q["nearest_keywords"] = f"""WITH
+emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+comp AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM emb),
+cent AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM comp GROUP BY label, i) GROUP BY label),
+d AS (SELECT e.vec_id, c.label, 1.0 - list_dot_product(e.v, c.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.c, c.c))) AS dist
+      FROM emb e CROSS JOIN cent c WHERE list_dot_product(e.v, e.v) > 0 AND list_dot_product(c.c, c.c) > 0)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(dist, 6) AS dist FROM
+  (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 6), label) AS rank FROM d) WHERE rank <= {nearest}"""
+    return q

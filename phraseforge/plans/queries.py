@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseforge.functions.tagging import DT_WORDS
+from phraseforge.functions import tagging as TG
+from phraseforge.functions import text as X
+from phraseforge.operators import dictionary as D
 from phraseforge.operators import evaluate as V
 from phraseforge.operators import graph as G
 from phraseforge.operators import ngrams as N
@@ -27,6 +30,7 @@ RATIO = 1.0 / 3.0   # TextRank selection ratio (M1)
 NEIGHBOURS = 5      # ExpandRank neighbour count (M3, M10)
 GOLD_PER_DOC = 5    # fixture gold: most frequent candidate phrases per doc (M7, M8)
 NGRAM_TOP_K = 20    # terms per document (M4)
+NEAREST_N = 3       # nearest keyword vectors per vector (O5)
 # ----------------------------------------------------------------------------
 
 R = 6  # decimals kept in compared doubles
@@ -227,6 +231,96 @@ def q_gold_keys(spark, sf_dir):
     return V.gold_from_lines(lines)
 
 
+def q_dictionary_matches(spark, sf_dir):
+    """Document 1-3-grams found in a dictionary made of the 1-3-grams
+    of ``benchmark.text`` (read through the S10 line rules)."""
+    sw = _stopwords(spark)
+    bench = table(spark, sf_dir, "benchmark")
+    btoks = X.split_nonempty(X.delete_punctuation(F.lower("text")), N.WHITESPACE)
+    lines = bench.select(F.explode(X.ngrams(btoks, 1, 3)).alias("line"))
+    return D.dictionary_matches(_docs(spark, sf_dir), D.dictionary_phrases(lines, sw), sw)
+
+
+def q_phrase_positions(spark, sf_dir):
+    """Every position where a benchmark passage's tokens occur in a document."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("tid"), TG.token_array("text").alias("toks"))
+    pats = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), TG.token_array("text").alias("ptoks"))
+    m = D.contiguous_matches(docs, pats)
+    return m.select(F.col("tid").alias("doc_id"), F.col("pid").alias("item_id"), "pos")
+
+
+def q_redundancy_filter(spark, sf_dir):
+    """Candidate phrases not contained in another candidate of the document."""
+    return D.redundancy_filter(K.candidate_phrases(_tokens(spark, sf_dir)).select("doc_id", "phrase"))
+
+
+def q_ascii_filter(spark, sf_dir):
+    """is the document text pure ASCII."""
+    return _docs(spark, sf_dir).select("doc_id", X.is_ascii("text").alias("is_ascii"))
+
+
+def q_text_normalise(spark, sf_dir):
+    """X2 / X5-X8 / X11 over whole texts."""
+    t = F.col("text")
+    return _docs(spark, sf_dir).select(
+        "doc_id",
+        X.py_strip(t).alias("stripped"),
+        X.strip_symbols_digits(F.lower(t)).alias("no_symbols"),
+        X.delete_punctuation(F.lower(t)).alias("no_punct"),
+        X.printable_only(t).alias("printable"),
+        X.collapse_spaces(t).alias("collapsed"),
+        F.array_join(X.normalise_text(t, clean=True), " ").alias("normalised"),
+    )
+
+
+def q_sentences(spark, sf_dir):
+    """Sentence split (JVM BreakIterator) -> words per sentence."""
+    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.sentences("text")).alias("sent", "words"))
+    return s.select("doc_id", "sent", F.size("words").alias("n_words"))
+
+
+def q_bag_of_words(spark, sf_dir):
+    """Term counts of the X11 tokens (lower-case, split on single spaces)."""
+    t = _docs(spark, sf_dir).select("doc_id", F.explode(X.normalise_text(F.col("text"))).alias("term"))
+    return t.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+def q_corpus_union(spark, sf_dir):
+    """Bag union of three corpora (no distinct)."""
+    d = _docs(spark, sf_dir).select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("id"),
+                                    F.lit(0).cast("bigint").alias("part"), "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("corpus"), F.col("page_id").alias("id"),
+                                             F.lit(0).cast("bigint").alias("part"), F.col("html").alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("corpus"), F.col("conv_id").alias("id"),
+                                                     F.col("turn").alias("part"), "text")
+    return V.corpus_union([d, p, c])
+
+
+def q_distinct_keywords(spark, sf_dir):
+    """Distinct keywords over all documents' gold lists."""
+    gold, _ = _fixture_gold_and_pred(spark, sf_dir)
+    return gold.select("phrase").distinct()
+
+
+def q_gold_alternatives(spark, sf_dir):
+    """``ID : k1,k2,a+b`` lines (built from the fixture gold, each key with
+    its plural as an accepted alternative) parsed back into rows."""
+    ranked = T.top_k(K.candidate_phrases(_tokens(spark, sf_dir)), GOLD_PER_DOC, "phrase", score="n")
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))),
+                       lambda x: F.concat(x["phrase"], F.lit("+"), x["phrase"], F.lit("s")))
+    lines = ranked.groupBy("doc_id").agg(F.concat(F.col("doc_id").cast("string"), F.lit(" : "),
+                                                  F.array_join(keys, ",")).alias("line"))
+    return V.parse_stemmed_gold(lines)
+
+
+def q_nearest_keywords(spark, sf_dir, n: int = NEAREST_N):
+    """Each embedding's nearest label centroids by cosine distance."""
+    emb = table(spark, sf_dir, "embeddings")
+    kw = S.centroids(emb.select(F.col("label").alias("keyword"), F.col("embedding").alias("vec")), "keyword", "vec")
+    nk = S.nearest_keywords(emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), kw, n)
+    return nk.select(F.col("doc_id").alias("vec_id"), "rank", F.col("keyword").alias("label"), F.round("dist", R).alias("dist"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tagged_tokens": q_tagged_tokens,
@@ -257,4 +351,15 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "eval_micro": q_eval_micro,
         "eval_macro": q_eval_macro,
         "gold_keys": q_gold_keys,
+        "dictionary_matches": q_dictionary_matches,
+        "phrase_positions": q_phrase_positions,
+        "redundancy_filter": q_redundancy_filter,
+        "ascii_filter": q_ascii_filter,
+        "text_normalise": q_text_normalise,
+        "sentences": q_sentences,
+        "bag_of_words": q_bag_of_words,
+        "corpus_union": q_corpus_union,
+        "distinct_keywords": q_distinct_keywords,
+        "gold_alternatives": q_gold_alternatives,
+        "nearest_keywords": q_nearest_keywords,
     }
