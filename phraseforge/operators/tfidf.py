@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phraseforge.operators.tokens import candidate_runs, content_words
+from phraseforge.operators.tokens import content_words
 
 # Decimals at which scores are compared when ranking: phrase scores reach 1e6
 # and more, where a 9-decimal rounding is below double precision.
@@ -58,17 +58,35 @@ def tfidf_words(tokens: DataFrame, n: Column) -> DataFrame:
             .select("doc_id", "word", "tf", "df", (F.col("tf") * idf_log2(n, F.col("df"))).alias("score")))
 
 
-def phrase_scores(runs: DataFrame, word_scores: DataFrame) -> DataFrame:
+def island_tokens(tokens: DataFrame) -> DataFrame:
+    """Content-word tokens with their W1 run id (``island``: consecutive
+    positions share one) -- a window over the doc-partitioned table."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return content_words(tokens).withColumn("island", F.col("pos") - F.row_number().over(w))
+
+
+def scored_runs(scored: DataFrame) -> DataFrame:
+    """A10 + F3 at run level: ``scored`` is island tokens with an exact token
+    score ``s``; returns distinct (doc_id, phrase, score) for the runs not
+    ending in JJ.  Every run of the same phrase has the same exact sum.
+
+    Scoring tokens and summing per (doc, island) keeps the long phrase strings
+    out of join and grouping keys; the grouping reuses the doc partitioning."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", "word", "tag")))
+    runs = scored.groupBy("doc_id", "island").agg(parts.alias("p"), F.sum("s").alias("score"))
+    runs = runs.select("doc_id", F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("phrase"),
+                       F.element_at("p", -1)["tag"].alias("last_tag"), "score").where(F.col("last_tag") != "JJ")
+    return runs.groupBy("doc_id", "phrase").agg(F.max("score").alias("score"))
+
+
+def phrase_scores(tokens: DataFrame, word_scores: DataFrame) -> DataFrame:
     """A10: phrase score = sum of its tokens' scores (repeats count each time,
-    a word without a score counts 0).  Returns distinct (doc_id, phrase, score)
-    with ``score`` an exact DECIMAL(38, 9) sum of the word scores rounded to 9
-    places, so ranking and rounding do not depend on summation order."""
-    cand = runs.select("doc_id", "phrase", "words").dropDuplicates(["doc_id", "phrase"])
-    toks = cand.select("doc_id", "phrase", F.explode("words").alias("word"))
-    toks = toks.groupBy("doc_id", "phrase", "word").agg(F.count("*").alias("m"))
-    scored = toks.join(word_scores.select("doc_id", "word", "score"), ["doc_id", "word"], "left")
-    return scored.groupBy("doc_id", "phrase").agg(
-        F.sum(F.col("m").cast("decimal(9,0)") * exact(F.coalesce(F.col("score"), F.lit(0.0)))).alias("score"))
+    a word without a score counts 0), from a (doc_id, word, score) table.
+    Returns distinct (doc_id, phrase, score) with ``score`` an exact
+    DECIMAL(38, 9) sum of the word scores rounded to 9 places, so ranking and
+    rounding do not depend on summation order."""
+    cw = island_tokens(tokens).join(word_scores.select("doc_id", "word", "score"), ["doc_id", "word"], "left")
+    return scored_runs(cw.withColumn("s", exact(F.coalesce(F.col("score"), F.lit(0.0)))))
 
 
 def top_k(df: DataFrame, k: int, key: str, score: str = "score", part: str = "doc_id",
@@ -91,6 +109,9 @@ def tfidf_phrases(tokens: DataFrame, n: Column, k: int = 10) -> DataFrame:
     """M0: candidate runs scored by summed word TF-IDF, top ``k`` per document.
 
     Returns (doc_id, rank, phrase, score)."""
-    scores = tfidf_words(tokens, n)
-    ps = phrase_scores(candidate_runs(tokens), scores)
+    cw = island_tokens(tokens)
+    cw = cw.withColumn("tf", F.count("*").over(Window.partitionBy("doc_id", "word")))
+    cw = cw.join(document_frequency(tokens), "word")
+    score = F.when(F.col("word") == "", F.lit(0.0)).otherwise(F.col("tf") * idf_log2(n, F.col("df")))
+    ps = scored_runs(cw.withColumn("s", exact(score)))
     return top_k(ps, k, "phrase").select("doc_id", "rank", "phrase", "score")
