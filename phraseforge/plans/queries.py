@@ -21,6 +21,8 @@ from phraseforge.operators import ngrams as N
 from phraseforge.operators import similarity as S
 from phraseforge.operators import tfidf as T
 from phraseforge.operators import tokens as K
+from phraseforge.operators import topics as TP
+from phraseforge.functions import stem as ST
 from phraseforge.sources.tables import table
 
 # --- fixed job parameters ---------------------------------------------------
@@ -321,6 +323,20 @@ def q_nearest_keywords(spark, sf_dir, n: int = NEAREST_N):
     return nk.select(F.col("doc_id").alias("vec_id"), "rank", F.col("keyword").alias("label"), F.round("dist", R).alias("dist"))
 
 
+def q_stem_vocabulary(spark, sf_dir):
+    """The corpus vocabulary (cleaned tokens of the n-gram pipeline) and its stems."""
+    toks = N.clean_tokens(_docs(spark, sf_dir)).select(F.explode("toks").alias("token"))
+    return ST.stem_vocabulary(toks)
+
+
+def q_lda_keywords(spark, sf_dir):
+    """M5: LDA topic vectors of documents vs the distinct fixture-gold keywords;
+    each document's 10 nearest keywords (training corpus = all documents)."""
+    docs = _docs(spark, sf_dir)
+    gold, _ = _fixture_gold_and_pred(spark, sf_dir)
+    return TP.lda_keywords(docs.select("doc_id", "text"), docs.select("doc_id", "text"), gold)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tagged_tokens": q_tagged_tokens,
@@ -362,4 +378,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distinct_keywords": q_distinct_keywords,
         "gold_alternatives": q_gold_alternatives,
         "nearest_keywords": q_nearest_keywords,
+        "stem_vocabulary": q_stem_vocabulary,
+        "lda_keywords": q_lda_keywords,
     }

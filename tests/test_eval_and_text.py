@@ -111,3 +111,15 @@ def test_ngram_tfidf_against_hand_computation(spark):
     x = {(r["doc_id"], r["term"]): r["x"] for r in N.ngram_tfidf(docs).collect()}
     # every doc has alpha and beta equally often -> each normalised weight is 1/sqrt(2)
     assert all(v == pytest.approx(1 / math.sqrt(2)) for v in x.values()) and len(x) == 8
+
+
+def test_stemmer_pairs_and_vocabulary_job(spark):
+    from phraseforge.functions.stem import stem_vocabulary, stem_word
+
+    pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "filing": "file",
+             "relational": "relat", "generously": "generous", "communication": "communic", "skies": "ski",
+             "consignment": "consign", "the": "the", "having": "having", "ab": "ab", "Networks": "network"}
+    assert {w: stem_word(w) for w in pairs} == pairs
+    toks = spark.createDataFrame([(w,) for w in list(pairs) * 2], "token string")
+    got = dict((r["token"], r["stem"]) for r in stem_vocabulary(toks).collect())
+    assert got == pairs
