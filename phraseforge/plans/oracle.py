@@ -75,6 +75,18 @@ def oracles(top_k: int = 10) -> dict[str, str]:
     q.update(graph_oracles(top_k=top_k))
     q.update(ngram_oracles(DT_WORDS, top_k=top_k))
     q.update(misc_oracles(DT_WORDS, top_k=top_k))
+    q["page_tokens"] = """WITH
+pt AS (SELECT page_id, list_filter(regexp_split_to_array(html, '[ \t\r\n]+'), lambda x: x <> '') AS toks FROM pages),
+pe AS (SELECT page_id, generate_subscripts(toks, 1) AS i, unnest(toks) AS tok FROM pt),
+pw AS (SELECT page_id, i,
+              lower(regexp_replace(CASE WHEN contains(tok, '_') THEN regexp_extract(tok, '^(.*)_[^_]*$', 1) ELSE tok END,
+                                   '^[ \t]+|[ \t]+$', '', 'g')) AS word,
+              CASE WHEN contains(tok, '_') THEN regexp_extract(tok, '_([^_]*)$', 1) ELSE tok END AS tag FROM pe),
+kept AS (SELECT * FROM pw WHERE NOT (length(word) >= 2 AND (starts_with(word, '<') OR ends_with(word, '>'))))
+SELECT page_id AS doc_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, word, tag FROM kept"""
+    q["document_lines"] = """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN []::VARCHAR[]
+                         ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS lines FROM documents)
+SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(list_filter(lines, lambda x: x = '')) AS INTEGER) AS n_blank FROM l"""
     return q
 
 

@@ -337,6 +337,21 @@ def q_lda_keywords(spark, sf_dir):
     return TP.lda_keywords(docs.select("doc_id", "text"), docs.select("doc_id", "text"), gold)
 
 
+def q_page_tokens(spark, sf_dir):
+    """S1 / F2 on raw markup: ``pages.html`` read as tagged text (tokens without
+    '_' keep word = tag); markup words take no position."""
+    return K.parse_tagged(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html")
+
+
+def q_document_lines(spark, sf_dir):
+    """Lines per text as a line reader counts them (blank lines count; a
+    final newline does not open another line)."""
+    body = F.regexp_replace("text", "\n$", "")
+    lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(lines).alias("n_lines"),
+                                       F.size(F.filter(lines, lambda x: x == "")).alias("n_blank"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tagged_tokens": q_tagged_tokens,
@@ -380,4 +395,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nearest_keywords": q_nearest_keywords,
         "stem_vocabulary": q_stem_vocabulary,
         "lda_keywords": q_lda_keywords,
+        "page_tokens": q_page_tokens,
+        "document_lines": q_document_lines,
     }
