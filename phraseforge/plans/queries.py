@@ -198,7 +198,7 @@ def q_global_ngrams(spark, sf_dir):
 def q_ngram_tfidf_boosted(spark, sf_dir, k: int = NGRAM_TOP_K):
     """J9 + O4 + F9 + K2: 1- to 3-grams plus the global boost, written as lines."""
     docs, sw = _docs(spark, sf_dir), _stopwords(spark)
-    t = N.top_terms(N.ngram_tfidf(docs, 1, 3, sw), N.global_ngrams(docs, sw), k)
+    t = N.boosted_top_terms(docs, 1, 3, k, sw)
     lines = N.scored_term_lines(t)
     return lines.join(t.select(F.col("doc_id").cast("string").alias("file_id"), "rank",
                                F.round("z", R).alias("z"), F.round("x", R).alias("x")), ["file_id", "rank"])
