@@ -23,6 +23,7 @@ from phraseforge.operators import tfidf as T
 from phraseforge.operators import tokens as K
 from phraseforge.operators import topics as TP
 from phraseforge.functions import stem as ST
+from phraseforge.session import materialize
 from phraseforge.sources.tables import table
 
 # --- fixed job parameters ---------------------------------------------------
@@ -136,7 +137,7 @@ def q_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = RATIO
 
 def _neighbours(spark, sf_dir, k: int):
     docs = _docs(spark, sf_dir)
-    tokens = K.tokens_from_text(docs)
+    tokens = materialize(K.tokens_from_text(docs))
     vec = T.tfidf_words(tokens, T.n_docs(docs))
     return tokens, S.similar_documents(vec, k)
 

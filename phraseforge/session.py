@@ -63,3 +63,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="phraseforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Write ``df`` once into the shared checkpoint folder and return the
+    re-read table (lineage cut, partitioning kept).
+
+    Used where one intermediate feeds several branches of a job (the tokens of
+    a ranker, the TF-IDF vectors of the similarity search): without it every
+    branch would recompute the whole upstream.  A reliable checkpoint, so a
+    lost executor costs a re-read, not a recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
