@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference reads finite files to the end and has no event time, watermark,
+window, state or late data, so there is no streaming operator to rebuild.
+Every batch operator here is a DataFrame transformation, so it also applies
+unchanged to a ``readStream`` source where its semantics allow (stateless
+per-document operators); none is registered as a streaming job.
+"""
