@@ -209,7 +209,7 @@ def _fixture_gold_and_pred(spark, sf_dir):
     """Fixture gold: each document's 5 most frequent candidate phrases (ties by
     phrase); predictions: the top-10 TF-IDF phrases (M0)."""
     docs = _docs(spark, sf_dir)
-    tokens = K.tokens_from_text(docs)
+    tokens = materialize(K.tokens_from_text(docs))  # read by both the gold and the predictions
     gold = T.top_k(K.candidate_phrases(tokens), GOLD_PER_DOC, "phrase", score="n").select("doc_id", "phrase")
     pred = T.tfidf_phrases(tokens, T.n_docs(docs), TOP_K).select("doc_id", "phrase")
     return gold, pred
