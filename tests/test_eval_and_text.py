@@ -123,3 +123,24 @@ def test_stemmer_pairs_and_vocabulary_job(spark):
     toks = spark.createDataFrame([(w,) for w in list(pairs) * 2], "token string")
     got = dict((r["token"], r["stem"]) for r in stem_vocabulary(toks).collect())
     assert got == pairs
+
+
+def test_stem_map_in_ngram_and_dictionary_pipelines(spark):
+    from phraseforge.functions.stem import stem_vocabulary
+
+    docs = spark.createDataFrame([(i, "Networks network networking networks") for i in range(1, 3)],
+                                 "doc_id long, text string")
+    toks = N.clean_tokens(docs).select(F.explode("toks").alias("token"))
+    sm = stem_vocabulary(toks)
+    f = {r["stem"]: r["n"] for r in N.corpus_frequency(docs, sm).collect()}
+    assert f == {"network": 8}
+    forms = N.surface_forms(docs, sm).collect()[0]
+    assert list(forms["forms"]) == ["network", "networking", "networks"]
+    # dictionary lines are stemmed twice, document terms once
+    lines = spark.createDataFrame([("neural networks",)], "line string")
+    lsm = stem_vocabulary(spark.createDataFrame([("neural",), ("networks",), ("network",), ("neural",)], "token string"))
+    d = D.dictionary_phrases(lines, None, lsm)
+    assert rows(d, "phrase") == [("neural network",)]
+    docs2 = spark.createDataFrame([(1, "Neural networks!")], "doc_id long, text string")
+    m = D.dictionary_matches(docs2, d, None, lsm)
+    assert rows(m, "n", "pos", "phrase") == [(2, 0, "neural network")]
