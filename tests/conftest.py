@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,9 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from phraseforge.session import get_session
 
+    # spark.checkpoint.dir is read from the session; phraseforge.session.checkpoint_dir
+    # creates a scratch folder only when it is unset (local runs)
     s = get_session("local[4]", shuffle_partitions=4, app_name="phraseforge-tests",
-                    extra={"spark.driver.memory": "4g",
-                           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="pf-test-ckpt-")})
+                    extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
 
