@@ -110,7 +110,8 @@ def redundant_phrases(phrases: DataFrame) -> DataFrame:
     This is ``isAlreadyPresent``; ``isInChunk`` differs only for a single word,
     which it drops only on an exact whole-phrase match."""
     p = phrases.select("doc_id", "phrase", F.split("phrase", " ").alias("toks"))
-    texts = p.select("doc_id", F.col("phrase").alias("tid"), "toks")
+    # a one-token phrase cannot contain a *different* phrase: leave it out of the texts
+    texts = p.where(F.size("toks") >= 2).select("doc_id", F.col("phrase").alias("tid"), "toks")
     pats = p.select("doc_id", F.col("phrase").alias("pid"), F.col("toks").alias("ptoks"))
     m = contiguous_matches(texts, pats, key="doc_id").where(F.col("tid") != F.col("pid"))
     return m.select("doc_id", F.col("pid").alias("phrase")).distinct()
