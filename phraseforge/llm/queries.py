@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseforge.llm import exact_dedup, mixing, quality_rules, simhash
+from phraseforge.llm import exact_dedup, mixing, pieces, quality_rules, simhash, substring_dedup, token_counts
 from phraseforge.sources.tables import table
 
 
@@ -15,6 +15,33 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text again."""
+    path = _tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode(_docs(spark, sf_dir).select("doc_id", "text"), path)
+    decoded = pieces.decode(encoded, path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; over_limit: more than 512 tokens."""
+    return token_counts.count_tokens(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=512)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many go as repeats of 20 words or more, and a digest of those left."""
+    kept = substring_dedup.remove_repeats(_docs(spark, sf_dir), block=10)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (4-word shingles, 4 bits)."""
     groups = simhash.near_groups(_docs(spark, sf_dir), shingle=4, max_bits=4)
@@ -38,6 +65,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_token_counts": op2_token_counts,
+        "op3_substring_dedup": op3_substring_dedup,
         "op6_simhash": op6_simhash,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
