@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseforge.llm import exact_dedup, mixing, pieces, quality_rules, simhash, substring_dedup, token_counts
+from phraseforge.llm import (exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup,
+                             token_counts)
 from phraseforge.sources.tables import table
 
 
@@ -42,6 +43,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels.quality."""
+    docs = _docs(spark, sf_dir)
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from text and lang outside the held-out fold."""
+    docs = _docs(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (4-word shingles, 4 bits)."""
     groups = simhash.near_groups(_docs(spark, sf_dir), shingle=4, max_bits=4)
@@ -68,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_language_id": op5_language_id,
         "op6_simhash": op6_simhash,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
