@@ -10,12 +10,18 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phraseforge.llm import exact_dedup, mixing, simhash
+from phraseforge.llm import exact_dedup, mixing, pieces, quality_classifier, simhash
 from phraseforge.session import checkpoint_dir
 from phraseforge.sources.tables import table
 
 
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents the classifier rejects (score below 0.3) go."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
@@ -31,10 +37,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, weights=(3, 1, 2), share=1.5, max_epochs=2)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: the ids of every text of the mix (doc_id, source, n_tokens, ids)."""
+    import public_tokenizers
+
+    encoded = pieces.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good_documents),
     ("exact dedup", drop_exact_copies),
     ("SimHash near-dedup", drop_near_copies),
     ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
 ]
 
 #: No SQL: the classifier, the fingerprints and the pieces are beyond it.
