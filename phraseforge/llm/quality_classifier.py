@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quality
             x = _pooled(block.column("text"), shared.value).astype(np.float32)
             yield pa.record_batch([block.column("id"), block.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")
     rows = sample.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), 3 * WIDTH + 1)
