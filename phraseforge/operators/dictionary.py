@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phraseforge.functions.text import delete_punctuation, ngrams, printable_only, py_strip, split_nonempty
+from phraseforge.session import materialize
 
 ANCHOR = 3  # tokens of a pattern used as its join key
 
@@ -72,13 +73,10 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, stopwords: DataFr
     t = document_terms(docs, stopwords, stem_map)
     terms = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))),
                                                 lambda x: x["term"]).alias("terms"))
-    parts = []
-    for n in range(n_min, n_max + 1):
-        g = terms.select("doc_id", F.posexplode(ngrams("terms", n, n)).alias("pos", "phrase"))
-        parts.append(g.withColumn("n", F.lit(n)))
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.unionByName(p)
+    size = F.size("terms")
+    grams = F.transform(F.sequence(F.lit(n_min), F.least(F.lit(n_max), size)), lambda n: F.transform(
+        F.sequence(F.lit(0), size - n), lambda i: F.struct(n.alias("n"), i.alias("pos"), F.array_join(F.slice("terms", i + 1, n), " ").alias("phrase"))))
+    grams = terms.where(size >= n_min).select("doc_id", F.explode(F.flatten(grams)).alias("g")).select("doc_id", "g.*")
     return grams.join(dictionary.select("phrase"), "phrase", "left_semi").select("doc_id", "n", "pos", "phrase")
 
 
@@ -88,35 +86,55 @@ def contiguous_matches(texts: DataFrame, patterns: DataFrame, key: str | None =
 
     ``texts`` is (tid, toks[, key]); ``patterns`` is (pid, ptoks[, key]); with
     ``key`` only pairs with the same key are searched.  Empty patterns match
-    nowhere.  Returns (tid, pid, pos[, key])."""
+    nowhere.  A text's candidates are gathered first, so its token list is
+    joined once and compared in the row.  Returns (tid, pid, pos[, key])."""
     kc = [key] if key else []
     p = patterns.where(F.size("ptoks") > 0).withColumn("a", F.least(F.size("ptoks"), F.lit(ANCHOR)))
     p = p.withColumn("anchor", F.array_join(F.slice("ptoks", 1, F.col("a")), " "))
-    # the n-gram of every anchor length starting at every text position
     t = texts.select("tid", "toks", *kc)
-    out = None
-    for a in range(1, ANCHOR + 1):
-        g = t.select("tid", *kc, F.posexplode(ngrams("toks", a, a)).alias("pos", "anchor")).withColumn("a", F.lit(a))
-        out = g if out is None else out.unionByName(g)
+    # the n-gram of every anchor length starting at every text position
+    starts = F.sequence(F.lit(0), F.size("toks") - 1)
+    grams = F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(ANCHOR), F.size("toks") - i)),
+        lambda a: F.struct(i.alias("pos"), a.alias("a"), F.array_join(F.slice("toks", i + 1, a), " ").alias("anchor"))))
+    out = t.where(F.size("toks") > 0).select("tid", *kc, F.explode(F.flatten(grams)).alias("g")).select("tid", *kc, "g.*")
     cand = out.join(p.select("pid", "ptoks", "anchor", "a", *kc), ["anchor", "a", *kc])
-    cand = cand.join(t.select("tid", "toks", *kc), ["tid", *kc])
-    hit = F.slice("toks", F.col("pos") + 1, F.size("ptoks")) == F.col("ptoks")
-    return cand.where(hit).select("tid", "pid", "pos", *kc)
+    # a pattern no longer than its anchor has matched already
+    sure = cand.where(F.size("ptoks") <= ANCHOR).select("tid", "pid", "pos", *kc)
+    open_ = cand.where(F.size("ptoks") > ANCHOR).groupBy("tid", *kc).agg(F.collect_list(F.struct("pid", "pos", "ptoks")).alias("c"))
+    hit = F.filter("c", lambda x: F.slice("toks", x["pos"] + 1, F.size(x["ptoks"])) == x["ptoks"])
+    checked = open_.join(t, ["tid", *kc]).select("tid", *kc, F.explode(hit).alias("c")).select("tid", "c.pid", "c.pos", *kc)
+    return sure.unionByName(checked)
 
 
-def redundant_phrases(phrases: DataFrame) -> DataFrame:
-    """(doc_id, phrase) -> the phrases that occur contiguously inside
-    another phrase of the same document (token-wise), which the filter drops.
-    This is ``isAlreadyPresent``; ``isInChunk`` differs only for a single word,
-    which it drops only on an exact whole-phrase match."""
+def _inside(phrases: DataFrame) -> DataFrame:
+    """(doc_id, pid, size): phrases that occur contiguously inside another phrase
+    of their document, with their token count."""
     p = phrases.select("doc_id", "phrase", F.split("phrase", " ").alias("toks"))
     # a one-token phrase cannot contain a *different* phrase: leave it out of the texts
     texts = p.where(F.size("toks") >= 2).select("doc_id", F.col("phrase").alias("tid"), "toks")
-    pats = p.select("doc_id", F.col("phrase").alias("pid"), F.col("toks").alias("ptoks"))
+    # one-token phrases need no positions: distinct words of the longer phrases
+    words = texts.select("doc_id", F.explode(F.array_distinct("toks")).alias("phrase")).distinct()
+    single = (p.where(F.size("toks") == 1).join(words, ["doc_id", "phrase"], "left_semi")
+              .select("doc_id", F.col("phrase").alias("pid"), F.lit(1).alias("size")))
+    pats = p.where(F.size("toks") >= 2).select("doc_id", F.col("phrase").alias("pid"), F.col("toks").alias("ptoks"))
     m = contiguous_matches(texts, pats, key="doc_id").where(F.col("tid") != F.col("pid"))
-    return m.select("doc_id", F.col("pid").alias("phrase")).distinct()
+    return m.select("doc_id", "pid", F.lit(2).alias("size")).distinct().unionByName(single)
+
+
+def redundant_phrases(phrases: DataFrame) -> DataFrame:
+    """M9 / J10 (``isAlreadyPresent``): (doc_id, phrase) -> the phrases that occur
+    contiguously inside another phrase of the same document (token-wise)."""
+    return _inside(phrases).select("doc_id", F.col("pid").alias("phrase"))
+
+
+def in_chunk(phrases: DataFrame) -> DataFrame:
+    """J10 (``isInChunk``): as :func:`redundant_phrases`, but a single word counts
+    only when a whole phrase equals it, which another phrase never does."""
+    return _inside(phrases).where(F.col("size") > 1).select("doc_id", F.col("pid").alias("phrase"))
 
 
 def redundancy_filter(phrases: DataFrame) -> DataFrame:
     """M9: keep the phrases not contained in another phrase of their document."""
+    phrases = materialize(phrases.select("doc_id", "phrase").distinct())  # read by four branches
     return phrases.join(redundant_phrases(phrases), ["doc_id", "phrase"], "left_anti")

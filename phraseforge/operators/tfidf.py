@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from phraseforge.operators.tokens import content_words
 
-# Decimals at which scores are compared when ranking: phrase scores reach 1e6
-# and more, where a 9-decimal rounding is below double precision.
-RANK_DECIMALS = 6
+# Decimals at which scores are compared when ranking: the width of the exact
+# sums below, so only float noise is folded into ties.
+RANK_DECIMALS = 9
 
 
 def exact(x: Column) -> Column:
@@ -95,7 +95,7 @@ def top_k(df: DataFrame, k: int, key: str, score: str = "score", part: str = "do
 
     The reference fills k slots in key order and replaces the lowest on a
     strictly greater score, so boundary ties depend on slot order; here ties are
-    broken deterministically by key.  Scores are compared at RANK_DECIMALS (6) decimals so float
+    broken deterministically by key.  Scores are compared at RANK_DECIMALS decimals so float
     noise from summation order cannot flip a rank.  With a constant k Catalyst
     applies a window group limit before the shuffle.
     """

@@ -55,7 +55,7 @@ def parse_tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def parse(tok):
         has = tok.contains("_")
-        word = F.when(has, F.regexp_extract(tok, r"^(.*)_[^_]*$", 1)).otherwise(tok)
+        word = F.when(has, F.regexp_extract(tok, r"(?s)^(.*)_[^_]*$", 1)).otherwise(tok)
         tag = F.when(has, F.regexp_extract(tok, r"_([^_]*)$", 1)).otherwise(tok)
         return F.struct(F.lower(F.regexp_replace(word, r"^[ \t]+|[ \t]+$", "")).alias("word"), tag.alias("tag"))
 
@@ -104,11 +104,6 @@ def selected_runs(tokens: DataFrame, selected: DataFrame) -> DataFrame:
     return _runs(member)
 
 
-def node_words(tokens: DataFrame) -> DataFrame:
-    """Per-document word types with at least one content-word occurrence."""
-    return content_words(tokens).select("doc_id", "word").distinct()
-
-
 def word_positions(tokens: DataFrame) -> DataFrame:
     """A5: 1-based positions of each word's content-word occurrences."""
     return (content_words(tokens)

@@ -7,6 +7,8 @@ rebuilt in SQL with the same fixture rule as the Spark side (DuckDB lists are
 
 from __future__ import annotations
 
+import re
+
 from phraseforge.functions.tagging import DT_WORDS, sql_fixture_tag, sql_token_array
 from phraseforge.functions.text import GOOD_POS
 
@@ -51,7 +53,7 @@ pscore AS (SELECT c.doc_id, c.phrase, any_value(r.score) AS score
 
 
 def topk(src: str, k: int, key: str = "phrase", score: str = "score", part: str = "doc_id") -> str:
-    return (f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY round({score}, 6) DESC, {key} ASC) AS INTEGER) AS rank "
+    return (f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY round({score}, 9) DESC, {key} ASC) AS INTEGER) AS rank "
             f"FROM {src}) WHERE rank <= {k})")
 
 
@@ -87,6 +89,7 @@ SELECT page_id AS doc_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY
     q["document_lines"] = """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN []::VARCHAR[]
                          ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS lines FROM documents)
 SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(list_filter(lines, lambda x: x = '')) AS INTEGER) AS n_blank FROM l"""
+    q.update(format_oracles(q))
     return q
 
 
@@ -138,7 +141,7 @@ def tr_select_cte(ratio: float) -> str:
     return f"""
 vcount AS (SELECT doc_id, count(DISTINCT word) AS v FROM tokens WHERE tag IN ({GOOD}) GROUP BY doc_id),
 sel AS (SELECT doc_id, word FROM (
-          SELECT s.doc_id, s.word, v.v, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(s.score, 6) DESC, s.word ASC) AS r
+          SELECT s.doc_id, s.word, v.v, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(s.score, 9) DESC, s.word ASC) AS r
           FROM tr20 s JOIN vcount v ON s.doc_id = v.doc_id WHERE s.score <> 0)
         WHERE r <= ceil(v * {ratio!r})),
 sw AS (SELECT t.doc_id, t.pos, t.word, t.pos - row_number() OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS island
@@ -165,7 +168,7 @@ vdocs AS (SELECT DISTINCT doc_id FROM ws),
 fill AS (SELECT doc_id FROM vdocs ORDER BY doc_id LIMIT {2 * k + 1}),
 cands AS (SELECT a AS doc_id, b AS nbr_id, sim FROM sims UNION ALL SELECT b, a, sim FROM sims
           UNION ALL SELECT v.doc_id, f.doc_id, 0.0 FROM vdocs v CROSS JOIN fill f WHERE v.doc_id <> f.doc_id),
-nbrs AS (SELECT * FROM (SELECT doc_id, nbr_id, sim, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, nbr_id ASC) AS INTEGER) AS rank
+nbrs AS (SELECT * FROM (SELECT doc_id, nbr_id, sim, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 9) DESC, nbr_id ASC) AS INTEGER) AS rank
          FROM (SELECT doc_id, nbr_id, max(sim) AS sim FROM cands GROUP BY doc_id, nbr_id)) WHERE rank <= {k})"""
 
 
@@ -303,6 +306,39 @@ SELECT count(*) AS n_docs, round(avg(p), 6) AS precision, round(avg(r), 6) AS re
     return q
 
 
+def string_ids(sql: str) -> str:
+    """The same SQL over documents whose ids are strings like ``D-17``."""
+    body = re.sub(r"\bdocuments\b", "sdocs", sql.removeprefix("WITH "))
+    return "WITH sdocs AS (SELECT 'D-' || doc_id AS doc_id, text FROM documents),\n" + body
+
+
+def format_oracles(q: dict[str, str]) -> dict[str, str]:
+    """Parsing of the input formats, sinks, and jobs on string ids; ``q`` holds the oracles they repeat."""
+    ws = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]"
+    strip = lambda c: f"regexp_replace({c}, '^{ws}+|{ws}+$', '', 'g')"
+    line = "translate(text, chr(10) || chr(13), '  ')"
+    title = "translate(string_split(text, chr(10))[1], chr(10) || chr(13), '  ')"
+    three = f"array_to_string(list_slice(string_split({line}, ' '), 1, 3), ',')"
+    out = {f"ids_{n}": string_ids(q[n]) for n in ("singlerank_phrases", "textrank_phrases", "similar_documents", "expandrank_phrases")}
+    out["ids_nearest_keywords"] = q["nearest_keywords"].replace("SELECT vec_id, label, CAST(embedding", "SELECT 'V-' || vec_id AS vec_id, label, CAST(embedding")
+    out["benchmark_records"] = f"""SELECT CAST(doc_id AS VARCHAR) AS id, {strip(title)} AS title, {strip(line)} AS abstract,
+  replace({strip(three)}, ',', '|') AS controlled, CAST(len(string_split({strip(three)}, ',')) AS INTEGER) AS n_controlled, 1 AS n_uncontrolled FROM documents"""
+    out["two_column_records"] = f"SELECT CAST(doc_id AS VARCHAR) AS id, {strip(line)} AS text FROM documents"
+    out["textbook_records"] = f"""SELECT CAST(doc_id AS VARCHAR) AS id, {strip(title)} AS title, {strip(three)} AS concepts,
+  {strip('source')} AS wikipediafiles, {strip(line)} AS text FROM documents"""
+    out["tsv_records"] = ("SELECT CAST(doc_id AS VARCHAR) AS id, lower(translate(text, chr(9) || chr(10) || chr(13), '   ')) AS text "
+                          "FROM documents WHERE lang = 'en'")
+    out["json_records"] = "SELECT coalesce(source, '') AS title, text AS abstract, 1 AS n_controlled FROM documents WHERE lang = 'en' AND text IS NOT NULL"
+    out["stopword_records"] = f"SELECT DISTINCT lower({strip('x')}) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents)"
+    out["title_abstract"] = "SELECT doc_id, string_split(text, chr(10))[1] || '. ' || text AS text FROM documents"
+    out["phrase_sink"], out["saved_artefact"] = q["tfidf_phrases"], q["bag_of_words"]
+    out["small_scores"] = q["document_frequency"].replace("SELECT word, count(DISTINCT doc_id) AS df FROM",
+                                                          "SELECT word, CAST(round(count(DISTINCT doc_id) / 10000.0, 4) AS VARCHAR) AS line FROM")
+    out["odd_separators"] = (q["page_tokens"].replace("FROM pages", "FROM (SELECT doc_id, replace(text, 'e', chr(133) || '_') AS html FROM documents)")
+                             .replace("page_id", "doc_id"))
+    return out
+
+
 # --- dictionary, positions, text functions, sets, vectors ---------------------
 
 WS = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]+"
@@ -343,11 +379,19 @@ dpos AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS tok FROM dt
 cand AS (SELECT d.doc_id, d.i, b.item_id FROM dpos d JOIN bt b ON d.tok = b.p[1])
 SELECT c.doc_id, c.item_id, CAST(c.i - 1 AS INTEGER) AS pos FROM cand c JOIN dt ON c.doc_id = dt.doc_id JOIN bt ON c.item_id = bt.item_id
 WHERE list_slice(dt.t, c.i, c.i + len(bt.p) - 1) = bt.p"""
-    q["redundancy_filter"] = ("WITH " + tokens_cte() + "," + runs_cte() + """,
-cands AS (SELECT DISTINCT doc_id, phrase FROM cand),
-red AS (SELECT DISTINCT a.doc_id, a.phrase FROM cands a JOIN cands b ON a.doc_id = b.doc_id AND a.phrase <> b.phrase
-        AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' '))
-SELECT c.doc_id, c.phrase FROM cands c ANTI JOIN red r ON c.doc_id = r.doc_id AND c.phrase = r.phrase""")
+    inside = "WITH " + tokens_cte() + "," + runs_cte() + """,
+cands AS (SELECT doc_id, phrase, string_split(phrase, ' ') AS t FROM (SELECT DISTINCT doc_id, phrase FROM cand)),
+cpos AS (SELECT doc_id, phrase, len(t) AS n, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM cands WHERE len(t) >= 2),
+pair AS (SELECT a.doc_id, a.phrase, a.i, a.n, a.w || ' ' || b.w AS w2 FROM cpos a JOIN cpos b
+         ON a.doc_id = b.doc_id AND a.phrase = b.phrase AND b.i = a.i + 1),
+single AS (SELECT DISTINCT c.doc_id, c.phrase FROM cands c SEMI JOIN cpos p ON c.doc_id = p.doc_id AND c.phrase = p.w WHERE len(c.t) = 1),
+near AS (SELECT c.doc_id, c.phrase, c.t, p.phrase AS other, p.i FROM cands c JOIN pair p
+         ON c.doc_id = p.doc_id AND c.t[1] || ' ' || c.t[2] = p.w2 WHERE len(c.t) >= 2 AND c.phrase <> p.phrase AND len(c.t) <= p.n - p.i + 1),
+multi AS (SELECT DISTINCT n.doc_id, n.phrase FROM near n JOIN cands o ON n.doc_id = o.doc_id AND n.other = o.phrase
+          WHERE list_slice(o.t, n.i, n.i + len(n.t) - 1) = n.t)
+"""
+    q["redundancy_filter"] = inside + """SELECT doc_id, phrase FROM cands ANTI JOIN (SELECT * FROM single UNION ALL SELECT * FROM multi) r USING (doc_id, phrase)"""
+    q["in_chunk"] = inside + "SELECT doc_id, phrase FROM multi"
     q["ascii_filter"] = "SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS is_ascii FROM documents"
     wsc = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]"
     q["text_normalise"] = f"""SELECT doc_id,
@@ -363,12 +407,13 @@ FROM documents"""
     q["corpus_union"] = ("SELECT 'documents' AS corpus, doc_id AS id, CAST(0 AS BIGINT) AS part, text FROM documents\n"
                          "UNION ALL SELECT 'pages', page_id, CAST(0 AS BIGINT), html FROM pages\n"
                          "UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations")
-    gold = ("WITH " + tokens_cte() + "," + runs_cte() + f""",
+    phrases = "WITH " + tokens_cte() + "," + runs_cte()
+    q["distinct_keywords"] = phrases + "\nSELECT DISTINCT phrase FROM cand"
+    q["gold_alternatives"] = string_ids(phrases + """,
 cands AS (SELECT doc_id, phrase, count(*) AS n FROM cand GROUP BY doc_id, phrase),
-gold AS {topk('cands', gold_k, score='n')}""")
-    q["distinct_keywords"] = gold + "\nSELECT DISTINCT phrase FROM gold"
-    q["gold_alternatives"] = (gold + "\nSELECT doc_id, CAST(rank - 1 AS INTEGER) AS key_pos, 0 AS alt_pos, phrase FROM gold"
-                              "\nUNION ALL SELECT doc_id, CAST(rank - 1 AS INTEGER), 1, phrase || 's' FROM gold")
+gold AS (SELECT doc_id, phrase, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) - 1 AS INTEGER) AS key_pos FROM cands)
+SELECT doc_id, key_pos, 0 AS alt_pos, phrase FROM gold
+UNION ALL SELECT doc_id, key_pos, 1, phrase || 's' FROM gold""")
     q["nearest_keywords"] = f"""WITH
 emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 comp AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM emb),
@@ -376,5 +421,5 @@ cent AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS
 d AS (SELECT e.vec_id, c.label, 1.0 - list_dot_product(e.v, c.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.c, c.c))) AS dist
       FROM emb e CROSS JOIN cent c WHERE list_dot_product(e.v, e.v) > 0 AND list_dot_product(c.c, c.c) > 0)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(dist, 6) AS dist FROM
-  (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 6), label) AS rank FROM d) WHERE rank <= {nearest}"""
+  (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), label) AS rank FROM d) WHERE rank <= {nearest}"""
     return q

@@ -6,9 +6,10 @@ blank) are fixed here as keyword defaults.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phraseforge.functions.tagging import DT_WORDS
@@ -23,7 +24,9 @@ from phraseforge.operators import tfidf as T
 from phraseforge.operators import tokens as K
 from phraseforge.operators import topics as TP
 from phraseforge.functions import stem as ST
-from phraseforge.session import materialize
+from phraseforge.session import checkpoint_dir, materialize
+from phraseforge.sources import readers as RD
+from phraseforge.sources import sinks as SK
 from phraseforge.sources.tables import table
 
 # --- fixed job parameters ---------------------------------------------------
@@ -31,7 +34,7 @@ TOP_K = 10          # phrases per document (M0, M2, M3)
 WINDOW = 2          # co-occurrence window (M1-M3)
 RATIO = 1.0 / 3.0   # TextRank selection ratio (M1)
 NEIGHBOURS = 5      # ExpandRank neighbour count (M3, M10)
-GOLD_PER_DOC = 5    # fixture gold: most frequent candidate phrases per doc (M7, M8)
+GOLD_PER_DOC = 5    # fixture gold of the evaluation jobs only: most frequent candidate phrases per doc (M7, M8)
 NGRAM_TOP_K = 20    # terms per document (M4)
 NEAREST_N = 3       # nearest keyword vectors per vector (O5)
 # ----------------------------------------------------------------------------
@@ -43,6 +46,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _string_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents under ids like ``D-17``, the kind that file readers give."""
+    return _docs(spark, sf_dir).select(F.concat(F.lit("D-"), "doc_id").alias("doc_id"), "text")
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tokens_from_text(_docs(spark, sf_dir))
 
@@ -300,18 +308,19 @@ def q_corpus_union(spark, sf_dir):
 
 
 def q_distinct_keywords(spark, sf_dir):
-    """Distinct keywords over all documents' gold lists."""
-    gold, _ = _fixture_gold_and_pred(spark, sf_dir)
-    return gold.select("phrase").distinct()
+    """Distinct keywords over all documents (all candidate phrases)."""
+    return K.candidate_runs(_tokens(spark, sf_dir)).select("phrase").distinct()
 
 
 def q_gold_alternatives(spark, sf_dir):
-    """``ID : k1,k2,a+b`` lines (built from the fixture gold, each key with
-    its plural as an accepted alternative) parsed back into rows."""
-    ranked = T.top_k(K.candidate_phrases(_tokens(spark, sf_dir)), GOLD_PER_DOC, "phrase", score="n")
+    """``ID : k1,k2,a+b`` lines (built from all candidate phrases, each key
+    with its plural as an accepted alternative) parsed back into rows; ids like
+    ``D-17``."""
+    by_count = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), F.col("phrase").asc())
+    ranked = K.candidate_phrases(K.tokens_from_text(_string_docs(spark, sf_dir))).withColumn("rank", F.row_number().over(by_count))
     keys = F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))),
                        lambda x: F.concat(x["phrase"], F.lit("+"), x["phrase"], F.lit("s")))
-    lines = ranked.groupBy("doc_id").agg(F.concat(F.col("doc_id").cast("string"), F.lit(" : "),
+    lines = ranked.groupBy("doc_id").agg(F.concat("doc_id", F.lit(" : "),
                                                   F.array_join(keys, ",")).alias("line"))
     return V.parse_stemmed_gold(lines)
 
@@ -344,6 +353,174 @@ def q_page_tokens(spark, sf_dir):
     return K.parse_tagged(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html")
 
 
+# --- ids of any type ---------------------------------------------------------
+
+def q_ids_singlerank_phrases(spark, sf_dir, window: int = WINDOW, k: int = TOP_K):
+    docs = _string_docs(spark, sf_dir)
+    p = G.singlerank_phrases(K.tokens_from_text(docs), window, k, G.choose_method(docs, window))
+    return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
+
+
+def q_ids_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = RATIO):
+    docs = _string_docs(spark, sf_dir)
+    return G.textrank_phrases(K.tokens_from_text(docs), window, ratio, G.choose_method(docs, window))
+
+
+def _string_neighbours(spark, sf_dir, k):
+    docs = _string_docs(spark, sf_dir)
+    tokens = materialize(K.tokens_from_text(docs))
+    return docs, tokens, S.similar_documents(T.tfidf_words(tokens, T.n_docs(docs)), k)
+
+
+def q_ids_similar_documents(spark, sf_dir, k: int = NEIGHBOURS):
+    nb = _string_neighbours(spark, sf_dir, k)[2]
+    return nb.select("doc_id", "rank", "nbr_id", F.round("sim", R).alias("sim"))
+
+
+def q_ids_expandrank_phrases(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS, top: int = TOP_K):
+    docs, tokens, nb = _string_neighbours(spark, sf_dir, k)
+    p = G.expandrank_phrases(tokens, nb, window, top, G.choose_method(docs, window))
+    return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
+
+
+def q_ids_nearest_keywords(spark, sf_dir, n: int = NEAREST_N):
+    emb = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.concat(F.lit("V-"), "vec_id"))
+    kw = S.centroids(emb.select(F.col("label").alias("keyword"), F.col("embedding").alias("vec")), "keyword", "vec")
+    nk = S.nearest_keywords(emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), kw, n, per_block=300)
+    return nk.select(F.col("doc_id").alias("vec_id"), "rank", F.col("keyword").alias("label"), F.round("dist", R).alias("dist"))
+
+
+# --- parsing of the input formats, on strings built from the documents ---------
+
+def _one_line(c) -> F.Column:
+    return F.translate(c, "\n\r", "  ")
+
+
+def _quoted(c) -> F.Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _title() -> F.Column:
+    return _one_line(F.substring_index("text", "\n", 1))
+
+
+def _three_words() -> F.Column:
+    return F.array_join(F.slice(F.split(_one_line(F.col("text")), " "), 1, 3), ",")
+
+
+def q_benchmark_records(spark, sf_dir):
+    """Quoted five-column records."""
+    body = F.concat(F.lit(" "), _one_line(F.col("text")), F.lit(" "))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted(_title()), _quoted(body), _quoted(_three_words()), F.lit('""'))
+    r = RD.benchmark_records(_docs(spark, sf_dir).select(line.alias("line")))
+    return r.select("id", "title", "abstract", F.array_join("controlled", "|").alias("controlled"),
+                    F.size("controlled").alias("n_controlled"), F.size("uncontrolled").alias("n_uncontrolled"))
+
+
+def q_two_column_records(spark, sf_dir):
+    """``id,text`` records."""
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted(_one_line(F.col("text"))))
+    return RD.two_column_records(_docs(spark, sf_dir).select(line.alias("line")))
+
+
+def q_textbook_records(spark, sf_dir):
+    """Five-column records without a header."""
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted(_title()), _quoted(_three_words()),
+                       F.concat(F.lit(" "), "source", F.lit(" ")), _quoted(_one_line(F.col("text"))))
+    return RD.textbook_records(_docs(spark, sf_dir).select(line.alias("line")))
+
+
+def q_tsv_records(spark, sf_dir):
+    """Tab-separated lines; those without a tab (here: other than English) are rejected."""
+    tab = F.when(F.col("lang") == "en", F.lit("\t")).otherwise(F.lit(" "))
+    line = F.concat(F.col("doc_id").cast("string"), tab, _one_line(F.translate("text", "\t", " ")))
+    return RD.tsv_records(_docs(spark, sf_dir).select(line.alias("line")))
+
+
+def q_json_records(spark, sf_dir):
+    """S8 + F10: JSON records, of which only those with an ``abstract`` (here: the English) stay."""
+    line = F.to_json(F.struct(F.col("source").alias("title"), F.when(F.col("lang") == "en", F.col("text")).alias("abstract")))
+    r = RD.json_records(_docs(spark, sf_dir).select(line.alias("line")))
+    return r.select("title", "abstract", F.size("controlled").alias("n_controlled"))
+
+
+def q_stopword_records(spark, sf_dir):
+    """Every line of every text read as a stopword line."""
+    return RD.stopword_records(_docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line")))
+
+
+def q_title_abstract(spark, sf_dir):
+    """First line and whole text joined as title and abstract."""
+    d = _docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"))
+    return d.select("doc_id", TP.title_abstract().alias("text"))
+
+
+def _shared_folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_phrase_sink(spark, sf_dir):
+    """K1: the TF-IDF phrases written to the shared folder and read back."""
+    path = _shared_folder(spark, "phrases")
+    SK.write_phrases(q_tfidf_phrases(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def q_saved_artefact(spark, sf_dir):
+    """K3: the bag of words saved to the shared folder and read back."""
+    return SK.save_artefact(q_bag_of_words(spark, sf_dir), _shared_folder(spark, "bag"))
+
+
+def q_small_scores(spark, sf_dir):
+    """Document frequencies as small numbers, written without an exponent."""
+    df = T.document_frequency(_tokens(spark, sf_dir))
+    return df.select("word", N.plain_number(F.col("df") / 10000.0).alias("line"))
+
+
+def q_odd_separators(spark, sf_dir):
+    """S1 on tokens that hold U+0085 and several underscores."""
+    text = F.replace("text", F.lit("e"), F.lit("\u0085_"))
+    return K.parse_tagged(_docs(spark, sf_dir).select("doc_id", text.alias("text")))
+
+
+def q_in_chunk(spark, sf_dir):
+    """J10 (``isInChunk``): candidate phrases that another candidate of the document holds."""
+    return D.in_chunk(materialize(K.candidate_runs(_tokens(spark, sf_dir)).select("doc_id", "phrase").distinct()))
+
+
+# --- with the English stemmer (the reference's default) -------------------------
+
+def _stems(spark, sf_dir):
+    return materialize(q_stem_vocabulary(spark, sf_dir))
+
+
+def q_surface_forms_stemmed(spark, sf_dir):
+    f = N.surface_forms(_docs(spark, sf_dir), _stems(spark, sf_dir))
+    return f.select("stem", F.array_join("forms", ",").alias("forms"))
+
+
+def q_corpus_frequency_stemmed(spark, sf_dir):
+    return N.corpus_frequency(_docs(spark, sf_dir), _stems(spark, sf_dir))
+
+
+def q_ngram_tfidf_stemmed(spark, sf_dir, k: int = NGRAM_TOP_K):
+    local = N.ngram_tfidf(_docs(spark, sf_dir), 1, 1, _stopwords(spark), _stems(spark, sf_dir))
+    return N.top_terms(local, None, k).select("doc_id", "rank", "term", F.round("x", R).alias("x"))
+
+
+def q_dictionary_matches_stemmed(spark, sf_dir):
+    sw = _stopwords(spark)
+    bench = table(spark, sf_dir, "benchmark")
+    btoks = X.split_nonempty(X.delete_punctuation(F.lower("text")), N.WHITESPACE)
+    dtoks = X.split_nonempty(X.delete_punctuation(F.lower("text")), N.WHITESPACE)
+    words = bench.select(F.explode(btoks).alias("token")).union(_docs(spark, sf_dir).select(F.explode(dtoks).alias("token")))
+    once = ST.stem_vocabulary(words)
+    # dictionary entries are stemmed twice, so stems are tokens too
+    stems = materialize(ST.stem_vocabulary(once.select("token").union(once.select(F.col("stem").alias("token")))))
+    lines = bench.select(F.explode(X.ngrams(btoks, 1, 3)).alias("line"))
+    return D.dictionary_matches(_docs(spark, sf_dir), D.dictionary_phrases(lines, sw, stems), sw, stems)
+
+
 def q_document_lines(spark, sf_dir):
     """Lines per text as a line reader counts them (blank lines count; a
     final newline does not open another line)."""
@@ -398,4 +575,25 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lda_keywords": q_lda_keywords,
         "page_tokens": q_page_tokens,
         "document_lines": q_document_lines,
+        "ids_singlerank_phrases": q_ids_singlerank_phrases,
+        "ids_textrank_phrases": q_ids_textrank_phrases,
+        "ids_similar_documents": q_ids_similar_documents,
+        "ids_expandrank_phrases": q_ids_expandrank_phrases,
+        "ids_nearest_keywords": q_ids_nearest_keywords,
+        "benchmark_records": q_benchmark_records,
+        "two_column_records": q_two_column_records,
+        "textbook_records": q_textbook_records,
+        "tsv_records": q_tsv_records,
+        "json_records": q_json_records,
+        "stopword_records": q_stopword_records,
+        "title_abstract": q_title_abstract,
+        "phrase_sink": q_phrase_sink,
+        "saved_artefact": q_saved_artefact,
+        "small_scores": q_small_scores,
+        "odd_separators": q_odd_separators,
+        "in_chunk": q_in_chunk,
+        "surface_forms_stemmed": q_surface_forms_stemmed,
+        "corpus_frequency_stemmed": q_corpus_frequency_stemmed,
+        "ngram_tfidf_stemmed": q_ngram_tfidf_stemmed,
+        "dictionary_matches_stemmed": q_dictionary_matches_stemmed,
     }

@@ -45,47 +45,88 @@ def gold_keys(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 
 
 BENCHMARK_SCHEMA = "id string, title string, abstract string, controlled string, uncontrolled string"
+TWO_COLUMN_SCHEMA = "id string, text string"
+TEXTBOOK_SCHEMA = "id string, title string, concepts string, wikipediafiles string, text string"
+CSV_QUOTES = {"quote": '"', "escape": '"'}
 
 
-def benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
+def _stripped(c: str) -> F.Column:
+    return F.coalesce(py_strip(F.col(c)), F.lit("")).alias(c)
+
+
+def _benchmark_columns(df: DataFrame) -> DataFrame:
+    return df.select("id", _stripped("title"), _stripped("abstract"), F.split(_stripped("controlled"), ",").alias("controlled"),
+                     F.split(_stripped("uncontrolled"), ",").alias("uncontrolled"))
+
+
+def _textbook_columns(df: DataFrame) -> DataFrame:
+    return df.select("id", *[_stripped(c) for c in ("title", "concepts", "wikipediafiles", "text")])
+
+
+def _csv_records(lines: DataFrame, schema: str, line_col: str) -> DataFrame:
+    """CSV records held in a string column."""
+    return lines.select(F.from_csv(F.col(line_col), schema, CSV_QUOTES).alias("r")).select("r.*")
+
+
+def benchmark_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """S4 on records in a column (no header among them)."""
+    return _benchmark_columns(_csv_records(lines, BENCHMARK_SCHEMA, line_col))
+
+
+def two_column_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """S5 on records in a column."""
+    return _csv_records(lines, TWO_COLUMN_SCHEMA, line_col).select("id", _stripped("text"))
+
+
+def textbook_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """S6 on records in a column."""
+    return _textbook_columns(_csv_records(lines, TEXTBOOK_SCHEMA, line_col))
+
+
+def benchmark_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Comma CSV with a header: id, title, abstract, controlled,
     uncontrolled.  All but id stripped; keyword columns split on ','
-    (an empty column gives [''], a list of length 1, as in the reference)."""
-    df = spark.read.csv(path, schema=BENCHMARK_SCHEMA, header=True, multiLine=True, quote='"', escape='"')
-    strip = lambda c: F.coalesce(py_strip(F.col(c)), F.lit(""))
-    return df.select("id", strip("title").alias("title"), strip("abstract").alias("abstract"),
-                     F.split(strip("controlled"), ",").alias("controlled"),
-                     F.split(strip("uncontrolled"), ",").alias("uncontrolled"))
+    (an empty column gives [''], a list of length 1, as in the reference).
 
+    ``multiline=True`` reads records that span lines, which makes each file one
+    task; ``False`` lets Spark split files whose records are single lines."""
+    return _benchmark_columns(spark.read.csv(path, schema=BENCHMARK_SCHEMA, header=True, multiLine=multiline, **CSV_QUOTES))
 
-def two_column_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``id,text`` without a header; text stripped."""
-    df = spark.read.csv(path, schema="id string, text string", header=False, multiLine=True, quote='"', escape='"')
-    return df.select("id", F.coalesce(py_strip(F.col("text")), F.lit("")).alias("text"))
 
+def two_column_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """``id,text`` without a header; text stripped (``multiline`` as in S4)."""
+    return spark.read.csv(path, schema=TWO_COLUMN_SCHEMA, header=False, multiLine=multiline, **CSV_QUOTES).select("id", _stripped("text"))
 
-def textbook_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``id,title,concepts,wikipediafiles,text`` without a header; all but id stripped."""
-    schema = "id string, title string, concepts string, wikipediafiles string, text string"
-    df = spark.read.csv(path, schema=schema, header=False, multiLine=True, quote='"', escape='"')
-    return df.select("id", *[F.coalesce(py_strip(F.col(c)), F.lit("")).alias(c)
-                             for c in ("title", "concepts", "wikipediafiles", "text")])
+
+def textbook_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """``id,title,concepts,wikipediafiles,text`` without a header; all but id
+    stripped (``multiline`` as in S4)."""
+    return _textbook_columns(spark.read.csv(path, schema=TEXTBOOK_SCHEMA, header=False, multiLine=multiline, **CSV_QUOTES))
 
 
 def tsv_lines(spark: SparkSession, path: str) -> DataFrame:
     """``id <TAB> text`` per line, split at the first tab; text lower-cased.
     Lines without a tab are rejected (the reference raises on them)."""
-    v = F.col("value")
-    lines = spark.read.text(path).where(F.instr(v, "\t") > 0)
-    return lines.select(F.substring_index(v, "\t", 1).alias("id"),
-                        F.lower(F.expr("substr(value, instr(value, '\t') + 1)")).alias("text"))
+    return tsv_records(spark.read.text(path), "value")
+
+
+def tsv_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """S7 on lines in a column."""
+    v = F.col(line_col)
+    cut = F.substring(v, F.instr(v, "\t") + 1, F.length(v))
+    return lines.where(F.instr(v, "\t") > 0).select(F.substring_index(v, "\t", 1).alias("id"), F.lower(cut).alias("text"))
 
 
 def abstracts_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; records that *have* an ``abstract`` key are kept; id is
     unique per kept record (the reference counts 0, 1, ...; here
     ``monotonically_increasing_id``); keyword lists are ['']."""
-    df = spark.read.json(path, schema="title string, abstract string")
+    return json_records(spark.read.text(path), "value")
+
+
+def json_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """S8 / F10 on JSON lines in a column: records without an ``abstract`` go."""
+    df = lines.select(F.from_json(F.col(line_col), "title string, abstract string").alias("r")).select("r.*")
     kept = df.where(F.col("abstract").isNotNull())
     empty = F.array(F.lit(""))
     return kept.select(F.monotonically_increasing_id().alias("id"), F.coalesce("title", F.lit("")).alias("title"),
@@ -94,7 +135,12 @@ def abstracts_json(spark: SparkSession, path: str) -> DataFrame:
 
 def stopwords(spark: SparkSession, path: str) -> DataFrame:
     """One word per line, lower-cased and stripped, as a set (word)."""
-    return spark.read.text(path).select(F.lower(py_strip(F.col("value"))).alias("word")).distinct()
+    return stopword_records(spark.read.text(path), "value")
+
+
+def stopword_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """S9 on lines in a column."""
+    return lines.select(F.lower(py_strip(F.col(line_col))).alias("word")).distinct()
 
 
 def phrase_dictionary(spark: SparkSession, path: str, stop: DataFrame | None = None,
@@ -107,12 +153,8 @@ def phrase_dictionary(spark: SparkSession, path: str, stop: DataFrame | None = N
 
 def stemmed_gold(spark: SparkSession, path: str) -> DataFrame:
     """``ID : k1,k2,a+b`` lines -> (doc_id, key_pos, alt_pos, phrase).
-    ``doc_id`` stays a string here (ids like ``C-41``)."""
-    v = F.col("value")
-    parts = F.split(v, " : ", 2)
-    s = spark.read.text(path).where(F.instr(v, " : ") > 0).select(F.trim(parts[0]).alias("doc_id"), parts[1].alias("keys"))
-    k = s.select("doc_id", F.posexplode(F.split("keys", ",")).alias("key_pos", "key"))
-    return k.select("doc_id", "key_pos", F.posexplode(F.split("key", "\\+")).alias("alt_pos", "phrase"))
+    ``doc_id`` stays a string (ids like ``C-41``)."""
+    return parse_stemmed_gold(spark.read.text(path), "value")
 
 
 __all__ = ["tagged_corpus", "document_list", "gold_keys", "benchmark_csv", "two_column_csv", "textbook_csv",
