@@ -90,6 +90,7 @@ SELECT page_id AS doc_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY
                          ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS lines FROM documents)
 SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(list_filter(lines, lambda x: x = '')) AS INTEGER) AS n_blank FROM l"""
     q.update(format_oracles(q))
+    q.update(topic_oracles(top_n=top_k))
     return q
 
 
@@ -339,6 +340,58 @@ def format_oracles(q: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def topics_cte(k: int, rounds: int) -> str:
+    """The EM topics: ``terms(term, p*)`` after ``rounds``, one CTE per step."""
+    ks = range(k)
+    total = " + ".join(f"t{j} * p{j}" for j in ks)
+    out = f"""
+corpus AS (SELECT 'd' || doc_id AS id, string_split(text, chr(10))[1] || '. ' || text AS text FROM documents
+  UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations),
+bow AS MATERIALIZED (SELECT id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, unnest(string_split(lower(text), ' ')) AS term FROM corpus) GROUP BY id, term),
+terms0 AS MATERIALIZED (SELECT term, {", ".join(f"CAST(('0x' || substr(md5(term || '#{j}'), 1, 8)) AS BIGINT) / 4294967296.0 + 1.0 AS p{j}" for j in ks)}
+  FROM (SELECT DISTINCT term FROM bow)),
+docs0 AS MATERIALIZED (SELECT DISTINCT id, {", ".join(f"1.0::DOUBLE AS t{j}" for j in ks)} FROM bow)"""
+    for i in range(1, rounds + 1):
+        out += f""",
+shares{i} AS MATERIALIZED (SELECT id, term, {", ".join(f"n * t{j} * p{j} / ({total}) AS r{j}" for j in ks)}
+  FROM bow JOIN terms{i - 1} USING (term) JOIN docs{i - 1} USING (id)),
+docs{i} AS MATERIALIZED (SELECT id, {", ".join(f"sum(r{j}) + 0.1 AS t{j}" for j in ks)} FROM shares{i} GROUP BY id),
+counts{i} AS MATERIALIZED (SELECT term, {", ".join(f"sum(r{j}) + 0.01 AS c{j}" for j in ks)} FROM shares{i} GROUP BY term),
+terms{i} AS MATERIALIZED (SELECT term, {", ".join(f"c{j} / sum(c{j}) OVER () AS p{j}" for j in ks)} FROM counts{i})"""
+    return out
+
+
+def topic_oracles(k: int = 4, rounds: int = 2, gold_k: int = 5, top_n: int = 10) -> dict[str, str]:
+    ks = range(k)
+    topics = topics_cte(k, rounds)
+    q = {"lda_topics": f"WITH {topics}\nSELECT term, {', '.join(f'round(p{j} * 1e6, 4) AS p{j}' for j in ks)} FROM terms{rounds}"}
+    total = " + ".join(f"p{j}" for j in ks)
+    whole = " + ".join(f"r{j}" for j in ks)
+
+    def fold(name: str, bow: str) -> str:
+        return f"""
+{name} AS (SELECT id, [{", ".join(f"CASE WHEN r{j} / ({whole}) < 0.01 THEN 0.0 ELSE r{j} / ({whole}) END" for j in ks)}] AS v
+  FROM (SELECT id, {", ".join(f"sum(n * p{j} / ({total})) AS r{j}" for j in ks)} FROM {bow} JOIN terms{rounds} USING (term) GROUP BY id))"""
+
+    q["lda_macro"] = "WITH " + tokens_cte() + "," + runs_cte() + f""",
+cands AS (SELECT doc_id, phrase, count(*) AS n FROM cand GROUP BY doc_id, phrase),
+gold AS MATERIALIZED {topk('cands', gold_k, score='n')},
+kbow AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, unnest(string_split(lower(id), ' ')) AS term FROM (SELECT DISTINCT phrase AS id FROM gold)) GROUP BY id, term),
+tbow AS (SELECT doc_id AS id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents) GROUP BY doc_id, term),
+{topics},{fold('kv', 'kbow')},{fold('dv', 'tbow')},
+dist AS (SELECT d.id AS doc_id, k.id AS keyword,
+  1.0 - list_dot_product(d.v, k.v) / (sqrt(list_dot_product(d.v, d.v)) * sqrt(list_dot_product(k.v, k.v))) AS x FROM dv d CROSS JOIN kv k),
+pred AS (SELECT doc_id, lower(keyword) AS norm FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(x, 9), keyword) AS r FROM dist) WHERE r <= {top_n}),
+per AS (SELECT g.doc_id, count(*) AS n_gold, count(p.norm) AS hits FROM gold g
+  LEFT JOIN (SELECT DISTINCT doc_id, norm FROM pred) p ON g.doc_id = p.doc_id AND lower(g.phrase) = p.norm GROUP BY g.doc_id),
+np AS (SELECT doc_id, count(*) AS n_pred FROM pred GROUP BY doc_id),
+pr AS (SELECT least(1.0, coalesce(hits / n_pred, 0.0)) AS p, hits / n_gold AS r FROM per LEFT JOIN np USING (doc_id))
+SELECT count(*) AS n_docs, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall,
+       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 4) AS f1 FROM pr"""
+    return q
+
+
 # --- dictionary, positions, text functions, sets, vectors ---------------------
 
 WS = "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]+"

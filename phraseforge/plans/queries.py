@@ -347,6 +347,35 @@ def q_lda_keywords(spark, sf_dir):
     return TP.lda_keywords(docs.select("doc_id", "text"), docs.select("doc_id", "text"), gold)
 
 
+EM_TOPICS, EM_ROUNDS = 4, 2  # small enough for one SQL statement
+
+
+def _topic_corpora(spark, sf_dir):
+    """Training texts: title and abstract of every document, and every conversation
+    turn twice (the reference adds its validation corpus twice); test texts: the documents."""
+    docs = _docs(spark, sf_dir)
+    d = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"),
+                    F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"))
+    d = d.select("id", TP.title_abstract().alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    return V.corpus_union([d, c], repeat={1: 2}), docs.select(F.col("doc_id").alias("id"), "text")
+
+
+def q_lda_topics(spark, sf_dir, k: int = EM_TOPICS, rounds: int = EM_ROUNDS):
+    """Topic weights of every term, the model kept as a table."""
+    terms, _ = TP.em_topics(TP.bag_of_words(_topic_corpora(spark, sf_dir)[0]), k, rounds)
+    return terms.select("term", *[F.round(F.col(f"p{j}") * 1e6, 4).alias(f"p{j}") for j in range(k)])
+
+
+def q_lda_macro(spark, sf_dir, k: int = EM_TOPICS, rounds: int = EM_ROUNDS):
+    """M5 end to end: topics, each document's 10 nearest keywords, macro scores against the gold."""
+    train, test = _topic_corpora(spark, sf_dir)
+    gold, _ = _fixture_gold_and_pred(spark, sf_dir)
+    near = TP.em_keywords(train, test, gold.select(F.col("phrase").alias("keyword")).distinct(), k, rounds)
+    m = V.macro_scores(near.select("doc_id", F.col("keyword").alias("phrase")), gold)
+    return m.select("n_docs", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def q_page_tokens(spark, sf_dir):
     """S1 / F2 on raw markup: ``pages.html`` read as tagged text (tokens without
     '_' keep word = tag); markup words take no position."""
@@ -575,6 +604,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lda_keywords": q_lda_keywords,
         "page_tokens": q_page_tokens,
         "document_lines": q_document_lines,
+        "lda_topics": q_lda_topics,
+        "lda_macro": q_lda_macro,
         "ids_singlerank_phrases": q_ids_singlerank_phrases,
         "ids_textrank_phrases": q_ids_textrank_phrases,
         "ids_similar_documents": q_ids_similar_documents,

@@ -67,7 +67,7 @@ def test_stemmed_gold_lines(spark):
     lines = spark.createDataFrame([("C-41 : grid,web service+web servic",)], "line string")
     got = rows(V.parse_stemmed_gold(lines.withColumn("line", F.regexp_replace("line", "C-", ""))),
                "doc_id", "key_pos", "alt_pos", "phrase")
-    assert got == [(41, 0, 0, "grid"), (41, 1, 0, "web service"), (41, 1, 1, "web servic")]
+    assert got == [("41", 0, 0, "grid"), ("41", 1, 0, "web service"), ("41", 1, 1, "web servic")]
 
 
 def test_similarity_blocked_equals_join(spark):
