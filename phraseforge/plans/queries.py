@@ -114,33 +114,23 @@ def q_edge_weights(spark, sf_dir, window: int = WINDOW):
     return e.select("doc_id", "src", "dst", F.round("w", R).alias("w"))
 
 
-def _ranked(spark, sf_dir, window):
-    """Tokens plus the iteration layout proven safe for these documents."""
-    docs = _docs(spark, sf_dir)
-    return K.tokens_from_text(docs), G.choose_method(docs, window)
-
-
 def q_singlerank_scores(spark, sf_dir, window: int = WINDOW):
-    tokens, method = _ranked(spark, sf_dir, window)
-    s = G.singlerank_scores(tokens, window, method)
+    s = G.singlerank_scores(_tokens(spark, sf_dir), window)
     return s.select("doc_id", "word", F.round("score", R).alias("score"))
 
 
 def q_singlerank_phrases(spark, sf_dir, window: int = WINDOW, k: int = TOP_K):
-    tokens, method = _ranked(spark, sf_dir, window)
-    p = G.singlerank_phrases(tokens, window, k, method)
+    p = G.singlerank_phrases(_tokens(spark, sf_dir), window, k)
     return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
 def q_textrank_scores(spark, sf_dir, window: int = WINDOW):
-    tokens, method = _ranked(spark, sf_dir, window)
-    s = G.textrank_scores(tokens, window, method)
+    s = G.textrank_scores(_tokens(spark, sf_dir), window)
     return s.select("doc_id", "word", F.round("score", R).alias("score"))
 
 
 def q_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = RATIO):
-    tokens, method = _ranked(spark, sf_dir, window)
-    return G.textrank_phrases(tokens, window, ratio, method)
+    return G.textrank_phrases(_tokens(spark, sf_dir), window, ratio)
 
 
 def _neighbours(spark, sf_dir, k: int):
@@ -385,14 +375,12 @@ def q_page_tokens(spark, sf_dir):
 # --- ids of any type ---------------------------------------------------------
 
 def q_ids_singlerank_phrases(spark, sf_dir, window: int = WINDOW, k: int = TOP_K):
-    docs = _string_docs(spark, sf_dir)
-    p = G.singlerank_phrases(K.tokens_from_text(docs), window, k, G.choose_method(docs, window))
+    p = G.singlerank_phrases(K.tokens_from_text(_string_docs(spark, sf_dir)), window, k)
     return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
 def q_ids_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = RATIO):
-    docs = _string_docs(spark, sf_dir)
-    return G.textrank_phrases(K.tokens_from_text(docs), window, ratio, G.choose_method(docs, window))
+    return G.textrank_phrases(K.tokens_from_text(_string_docs(spark, sf_dir)), window, ratio)
 
 
 def _string_neighbours(spark, sf_dir, k):
