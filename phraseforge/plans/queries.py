@@ -155,7 +155,7 @@ def q_expandrank_edges(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS)
 
 def q_expandrank_phrases(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS, top: int = TOP_K):
     tokens, nb = _neighbours(spark, sf_dir, k)
-    p = G.expandrank_phrases(tokens, nb, window, top, G.choose_method(_docs(spark, sf_dir), window))
+    p = G.expandrank_phrases(tokens, nb, window, top)
     return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
@@ -386,17 +386,17 @@ def q_ids_textrank_phrases(spark, sf_dir, window: int = WINDOW, ratio: float = R
 def _string_neighbours(spark, sf_dir, k):
     docs = _string_docs(spark, sf_dir)
     tokens = materialize(K.tokens_from_text(docs))
-    return docs, tokens, S.similar_documents(T.tfidf_words(tokens, T.n_docs(docs)), k)
+    return tokens, S.similar_documents(T.tfidf_words(tokens, T.n_docs(docs)), k)
 
 
 def q_ids_similar_documents(spark, sf_dir, k: int = NEIGHBOURS):
-    nb = _string_neighbours(spark, sf_dir, k)[2]
+    nb = _string_neighbours(spark, sf_dir, k)[1]
     return nb.select("doc_id", "rank", "nbr_id", F.round("sim", R).alias("sim"))
 
 
 def q_ids_expandrank_phrases(spark, sf_dir, window: int = WINDOW, k: int = NEIGHBOURS, top: int = TOP_K):
-    docs, tokens, nb = _string_neighbours(spark, sf_dir, k)
-    p = G.expandrank_phrases(tokens, nb, window, top, G.choose_method(docs, window))
+    tokens, nb = _string_neighbours(spark, sf_dir, k)
+    p = G.expandrank_phrases(tokens, nb, window, top)
     return p.select("doc_id", "rank", "phrase", F.round("score", R).cast("double").alias("score"))
 
 
