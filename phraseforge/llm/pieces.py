@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ from phraseforge.llm.lookup import KeyTable, Memo
 
 MARK = "▁"
 LONG = 48
-BLOCK_BYTES = 6 << 20
+#: Text of one block, and ids decoded at a time; words a worker remembers.
+BLOCK_BYTES, BLOCK_IDS, REMEMBERED = 3 << 19, 1 << 18, 400_000
 _START, _OPEN = -1, -2
 _CHAR = 1 << 21  # values from here on stand for a character without a piece
 
@@ -98,7 +100,7 @@ class PieceModel:
         self.by_string = {s: ids[s] for s in found}
         self.longest = max(map(len, found))
         self._fits: dict[tuple[int, int], bool] = {}
-        self.memo = Memo()
+        self.memo = Memo(REMEMBERED)
 
     def _raw(self, sp, i: int) -> bytes:
         if sp.is_byte(i):
@@ -317,6 +319,11 @@ def _grown(schema, name: str, kind: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name != name] + [f"{name} {kind}"])
 
 
+def _encoded(m: PieceModel, column) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    offsets, ids = encode_block(m, A.texts(column).to_pylist())
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32())), offsets, ids
+
+
 def encode(docs: DataFrame, path: str, output: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text in a new last column (one of that name is replaced)."""
     model = docs.sparkSession.sparkContext.broadcast(PieceModel(path))
@@ -324,21 +331,25 @@ def encode(docs: DataFrame, path: str, output: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in A.blocks(batches, "text", BLOCK_BYTES):
-            offsets, ids = encode_block(model.value, A.texts(rows.column("text")).to_pylist())
-            column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.record_batch([*rows.columns, column], [*rows.schema.names, output])
+            yield pa.record_batch([*rows.columns, _encoded(model.value, rows.column("text"))[0]], [*rows.schema.names, output])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, _grown(docs.schema, output, "array<int>"))
 
 
 def decode_block(m: PieceModel, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
     """Texts of a ragged array of ids."""
-    size = np.array([len(r) for r in m.raw])
+    size = np.array([len(r) for r in m.raw], np.int64)
     pool = np.frombuffer(b"".join(m.raw), np.uint8)
-    n = size[ids]
-    data = pool[A.spread((np.cumsum(size) - size)[ids], n)].tobytes()
-    ends = np.append(0, np.cumsum(n))[offsets].tolist()
-    return [data[a + 1 if data[a:a + 1] == b" " else a:b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:])]
+    first, out, at = np.cumsum(size) - size, [], 0
+    while at < len(offsets) - 1:  # whole texts, about BLOCK_IDS ids at a time
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_IDS, side="right")) - 1)
+        part = ids[offsets[at]:offsets[to]]
+        n = size[part]
+        data = pool[A.spread(first[part], n)].tobytes()
+        ends = np.append(0, np.cumsum(n))[offsets[at:to + 1] - offsets[at]].tolist()
+        out += [data[a + 1 if data[a:a + 1] == b" " else a:b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:])]
+        at = to
+    return out
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
@@ -348,12 +359,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for at in range(0, rows.num_rows, 1000):
-                part = rows.slice(at, 1000)
-                column = part.column(ids)
-                n = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                text = decode_block(model.value, np.append(0, np.cumsum(n)), flat)
-                yield pa.record_batch([*part.columns, pa.array(text, pa.string())], [*part.schema.names, output])
+            column = rows.column(ids)
+            n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = decode_block(model.value, np.append(0, np.cumsum(n)), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.record_batch([*rows.columns, pa.array(text, pa.string())], [*rows.schema.names, output])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, _grown(df.schema, output, "string"))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and whether the ids decode to the text again, in one pass over the texts."""
+    model = docs.sparkSession.sparkContext.broadcast(PieceModel(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in A.blocks(batches, "text", BLOCK_BYTES):
+            column, offsets, ids = _encoded(model.value, rows.column("text"))
+            same = pc.equal(A.texts(rows.column("text")), pa.array(decode_block(model.value, offsets, ids), pa.large_string()))
+            yield pa.record_batch([rows.column("doc_id"), column, same], ["doc_id", "ids", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, round_trip boolean")

@@ -25,11 +25,8 @@ def _tokenizer(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text again."""
-    path = _tokenizer("piece_bpe_32k.model")
-    encoded = pieces.encode(_docs(spark, sf_dir).select("doc_id", "text"), path)
-    decoded = pieces.decode(encoded, path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = pieces.round_trip(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

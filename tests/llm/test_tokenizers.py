@@ -83,6 +83,8 @@ def test_round_trip_of_edge_rows(spark, piece_path):
     assert all(r["again"] == (r["text"] or "") for r in got)
     assert sorted(str(r["decoded"]) for r in got) == sorted(str(None if r[0] is None else f"x{r[0]}") for r in rows)
     assert pieces.encode(docs.limit(0), piece_path).count() == 0
+    both = pieces.round_trip(docs, piece_path).collect()
+    assert all(r["round_trip"] for r in both) and sorted((str(r["doc_id"]), r["ids"]) for r in both) == sorted((str(r["doc_id"]), r["ids"]) for r in got)
     empty = [r for r in got if not r["text"]]
     assert empty and all(r["ids"] == [] for r in empty)
 
