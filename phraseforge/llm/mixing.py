@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from phraseforge.llm.common import WORD, text_or_empty, word_count
 from phraseforge.session import materialize
 
-ROWS_PER_RANGE = 1 << 16
+ROWS_PER_RANGE = 1 << 11
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
