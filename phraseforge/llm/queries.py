@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseforge.llm import (exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup,
-                             token_counts)
+                             suffix_dedup, token_counts)
 from phraseforge.sources.tables import table
 
 
@@ -58,6 +58,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that also stands earlier, with that earlier place."""
+    return suffix_dedup.repeated_passages(_docs(spark, sf_dir), length=50)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of equal texts stays, for every document."""
     return exact_dedup.decisions(_docs(spark, sf_dir))
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_language_id": op5_language_id,
         "op6_simhash": op6_simhash,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
