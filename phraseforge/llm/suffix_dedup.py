@@ -10,8 +10,8 @@
    with their neighbours: a suffix with an equal neighbour is a match.
 3. Matches are extended to the left and right: all ``LENGTH``-word windows around
    them are compared by 96-bit hash; a window that also starts earlier (smaller
-   doc_id, or earlier in the document) is a repeat, and runs of repeats against
-   one earlier place are the maximal passages.
+   doc_id, or earlier in the document) is a repeat of its neighbour in the order
+   of places, and runs of repeats of one neighbour are the maximal passages.
 
 Suffixes and windows that meet an equal one inside their own block of documents
 are decided there and dealt by document, so that a passage in a third of all
@@ -68,14 +68,19 @@ def _minimisers(grams: np.ndarray, first: np.ndarray, n: np.ndarray, span: int)
     return np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
 
 
-def _met_here(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest place with equal keys in this block, does it lie before the row's own)."""
+def _met_here(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lowest place with equal keys in this block, does it lie before the row's
+    own, the place just before the row's own: its neighbour)."""
     order = np.lexsort((pos, doc, *keys))
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
     low = np.zeros(len(order), np.int64)
     low[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    return low, (doc != doc[low]) | (pos != pos[low])
+    before = np.zeros(len(order), np.int64)
+    before[order[1:]] = order[:-1]
+    # rows that share doc and place are no neighbours of each other
+    alike = (doc == doc[before]) & (pos == pos[before]) if len(order) else np.zeros(0, bool)
+    return low, (doc != doc[low]) | (pos != pos[low]), np.where(alike, low, before)
 
 
 def _suffixes(length: int, span: int, gram: int):
@@ -99,7 +104,7 @@ def _suffixes(length: int, span: int, gram: int):
             h = _slices(A.HASH_A, words, chosen, sure)
             doc = rows.column(0).to_numpy(zero_copy_only=False)[own]
             pos = chosen - first[own]
-            low, later = _met_here([h], doc, pos)
+            low, later, _ = _met_here([h], doc, pos)
             met = later.copy()
             met[low[later]] = True
             h[later] = A.mix64(doc[later].view(np.uint64))
@@ -131,8 +136,8 @@ def _windows(length: int, span: int):
             b = _slices(A.HASH_B, A.byte_hashes(A.HASH_B, data, start, end), head, length).astype(np.uint32)
             doc, key = (rows.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
             pos = (head - first[own]).astype(np.int32)
-            low, later = _met_here([b, a], doc, pos)
-            src_doc, src_pos = pa.array(doc[low], mask=~later), pa.array(pos[low], mask=~later)
+            _, later, before = _met_here([b, a], doc, pos)
+            src_doc, src_pos = pa.array(doc[before], mask=~later), pa.array(pos[before], mask=~later)
             a[later], b[later] = A.mix64(doc[later].view(np.uint64)), 0
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(doc), pa.array(key), pa.array(pos),
                                    src_doc, src_pos], names)
@@ -142,7 +147,7 @@ def _windows(length: int, span: int):
 
 def _passages(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of repeated windows against one earlier place."""
+        """Runs of repeated windows against one earlier document, in step."""
         for rows in batches:
             n = pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(rows.num_rows), n)
@@ -178,10 +183,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, g
     matches = suffixes.withColumn("equal", equal).filter("met OR equal").groupBy("doc").agg(F.collect_list("pos").alias("places"))
     near = rows.join(matches.hint("shuffle_hash"), "doc").select("doc", "key", "text", "places")
     windows = near.mapInArrow(_windows(length, span), "a long, b int, doc long, key int, pos int, src_doc long, src_pos int")
-    by_place = Window.partitionBy("a", "b").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    windows = windows.withColumn("e", F.first(F.struct("doc", "pos")).over(by_place))
+    by_place = Window.partitionBy("a", "b").orderBy("doc", "pos")
+    place = F.struct("doc", "pos")
+    lowest = F.first(place).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.lag(place).over(by_place)
+    # the neighbour in the order; rows that share doc and place are no neighbours of each other
+    windows = windows.withColumn("e", F.when(before < place, before).otherwise(lowest))
     settled = F.col("src_doc").isNotNull()
-    repeats = windows.filter(settled | (F.col("doc") > F.col("e.doc")) | (F.col("pos") > F.col("e.pos")))
+    repeats = windows.filter(settled | (F.col("e") < place))
     found = repeats.groupBy("doc").agg(F.collect_list(F.struct(
         "key", "pos", F.when(settled, F.col("src_doc")).otherwise(F.col("e.doc")).alias("src"),
         F.when(settled, F.col("src_pos")).otherwise(F.col("e.pos")).alias("src_pos"))).alias("found"))
