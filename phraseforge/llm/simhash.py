@@ -8,12 +8,15 @@ ball around each of its parts, and the whole distance of what it finds is
 verified.
 
 Equal fingerprints are one node before any search.  A bucket that holds more
-than ``HOT`` different fingerprints is not paired out: the fingerprints that
-meet there are connected exactly through midpoints instead.  Two fingerprints
-differ in at most 4 bits if and only if some value lies within 2 bits of both,
-so each of them lists all values within ``max_bits / 2`` bits and is linked to
-the smallest fingerprint that lists the same value: a constant number of rows
-per fingerprint, whatever the size of the group.
+than ``HOT`` different fingerprints is not paired out as rows: its look-ups are
+dealt in bounded shares, each compared with the bucket's fingerprints as arrays,
+and only links that connect something new leave the task.  A bucket of more than
+``HUGE`` is not even compared: the fingerprints that meet there are connected
+exactly through midpoints.  Two fingerprints differ in at most 4 bits if and
+only if some value lies within 2 bits of both, so each of them lists all values
+within ``max_bits / 2`` bits and is linked to the smallest fingerprint that
+lists the same value: a constant number of rows per fingerprint, whatever the
+size of the group.
 
 Defined results: null, empty and word-free texts have fingerprint zero and link
 like any other; texts with fewer words than a shingle are one shingle; a null
@@ -37,7 +40,7 @@ from phraseforge.llm.components import components
 from phraseforge.session import materialize
 
 SEED = 42
-HOT = 64
+HOT, HUGE, SHARE = 64, 1 << 14, 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -122,31 +125,80 @@ def _midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return wide.join(low, "mid").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4, segments: int = 3, hot: int = HOT) -> DataFrame:
+def _bucket_links(max_bits: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """Links that connect what a bucket's fingerprints and one share of its look-ups hold within max_bits."""
+        fp = rows.column("fp").to_numpy().view(np.uint64)
+        filed = rows.column("filed").to_numpy().astype(bool)
+        held, seek = np.sort(fp[filed]), np.sort(fp[~filed])
+        owner = np.full(len(seek), -1, np.int64)  # the first held fingerprint that each look-up met
+        group = list(range(len(held)))
+
+        def root(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        a, b = [], []
+        for m, value in enumerate(held):
+            met = np.flatnonzero(np.bitwise_count(seek ^ value) <= max_bits)
+            for o in np.unique(owner[met[owner[met] >= 0]]).tolist():
+                if root(o) != root(m):
+                    group[root(o)] = root(m)
+                    a.append(held[[o]])
+                    b.append(held[[m]])
+            new = met[owner[met] < 0]
+            owner[new] = m
+            a.append(seek[new])
+            b.append(np.full(len(new), value))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
+        real = a != b
+        return pa.table({"a": pa.array(a[real].view(np.int64)), "b": pa.array(b[real].view(np.int64))})
+
+    return run
+
+
+def _crowded_links(table: DataFrame, met: DataFrame, max_bits: int) -> DataFrame:
+    """Links through crowded buckets; ``met`` holds the (key, fp) look-ups that reach them."""
+    shares = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    seek = met.join(shares, "key").select("key", F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int").alias("share"), "fp", F.lit(False).alias("filed"))
+    held = table.join(shares, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "fp", F.lit(True).alias("filed"))
+    return seek.union(held).groupBy("key", "share").applyInArrow(_bucket_links(max_bits), "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, segments: int = 3, hot: int = HOT, huge: int = HUGE) -> DataFrame:
     """(a, b): links between different fingerprints whose components are those of
     all pairs within ``max_bits``; ``fps`` has distinct values in column fp.
 
     Outside hot buckets every such pair is a link."""
     cuts = [64 * s // segments for s in range(segments + 1)]
-    filed, looked = [], []
+    filed, looked, balls = [], [], []
     for s in range(segments):
         width = cuts[s + 1] - cuts[s]
         part = F.shiftrightunsigned(F.col("fp"), cuts[s]).bitwiseAND(F.lit((1 << width) - 1))
         tag = F.lit(s).cast("long") * F.lit(1 << 58)
+        balls.append(_ball(width, max_bits // segments))
         filed.append(part + tag)
-        ball = _ball(width, max_bits // segments)
-        looked.append(_flipped(ball, part, tag))
+        looked.append(_flipped(balls[-1], part, tag))
     table = fps.select("fp", F.explode(F.array(*filed)).alias("key"))
-    probes = fps.select("fp", F.explode(F.concat(*looked)).alias("key"))
-    crowded = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"))
+    probes = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*looked)).alias("key"))
+    crowded = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
     calm = table.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("b"))
-    pairs = (probes.withColumnRenamed("fp", "a").join(calm, "key")
+    links = (probes.join(calm, "key")
              .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
              .select("a", "b"))
-    if crowded.isEmpty():  # nothing to connect through midpoints: leave that branch out of the plan
-        return pairs.distinct()
-    met = probes.join(crowded, "key", "left_semi").select("fp").distinct()
-    return pairs.union(_midpoint_links(met, max_bits)).distinct()
+    # kinds of buckets that do not occur are left out of the plan
+    largest = crowded.agg(F.max("n")).first()[0] or 0
+    if largest > hot:
+        # a crowded bucket is looked up by whatever is filed within the ball around it
+        masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in ball]) for ball in balls])
+        own = F.element_at(masks, (F.shiftrightunsigned(F.col("key"), 58) + 1).cast("int"))
+        around = crowded.select("key", "n", F.explode(F.transform(own, lambda m: m.bitwiseXOR(F.col("key")))).alias("near"))
+        met = table.withColumnRenamed("key", "near").join(around, "near").select("key", "n", "fp")
+        links = links.union(_crowded_links(table, met.filter(F.col("n") <= huge).select("key", "fp"), max_bits))
+    if largest > huge:
+        links = links.union(_midpoint_links(met.filter(F.col("n") > huge).select("fp").distinct(), max_bits))
+    return links.distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:

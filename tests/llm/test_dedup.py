@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from tests.llm.fixtures import edge_rows, table, words
 
-from phraseforge.llm import exact_dedup, simhash, substring_dedup
+from phraseforge.llm import exact_dedup, simhash, substring_dedup, suffix_dedup
 from phraseforge.llm.components import components
 
 
@@ -206,3 +206,62 @@ def test_repeats_of_edge_rows(spark):
     for r in got:
         assert sum(s["end"] - s["start"] for s in r["repeats"]) == r["n_removed"]
     assert substring_dedup.remove_repeats(table(spark, rows).limit(0)).count() == 0
+
+
+# --- suffix-array dedup ------------------------------------------------------------
+
+def covered_words(spark, rows, length, span, gram):
+    """{(doc, word place)} of all reported passages, each checked against the earlier place it names."""
+    texts = {}
+    for d, t, *_ in rows:
+        texts.setdefault(d, []).append(words(t))
+    out = set()
+    for r in suffix_dedup.repeated_passages(table(spark, rows, "h,doc,src,pos"), length=length, span=span, gram=gram).collect():
+        d, s, n = r["doc_id"], r["start"], r["n_words"]
+        key = lambda x: -(1 << 63) if x is None else x
+        assert (key(r["source_doc_id"]), r["source_start"]) < (key(d), s) and n >= length
+        ours = {tuple(w[s:s + n]) for w in texts[d] if len(w) >= s + n}
+        assert any(tuple(w[r["source_start"]:r["source_start"] + n]) in ours for w in texts[r["source_doc_id"]])
+        out |= {(d, i) for i in range(s, s + n)}
+    return out
+
+
+def expected_words(rows, length):
+    first, out = {}, set()
+    key = lambda d: -(1 << 63) if d is None else d
+    for d, t, *_ in rows:
+        w = words(t)
+        for i in range(len(w) - length + 1):
+            k = tuple(w[i:i + length])
+            first[k] = min(first.get(k, (key(d), i)), (key(d), i))
+    for d, t, *_ in rows:
+        w = words(t)
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i:i + length])] < (key(d), i):
+                out |= {(d, j) for j in range(i, i + length)}
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    rows = passages(2, 70) + [(100, passages(2, 70)[5][1]), (102, "z " * 90), (103, "z y " * 30)]
+    for length, span, gram in ((12, 4, 3), (25, 9, 5)):
+        assert covered_words(spark, rows, length, span, gram) == expected_words(rows, length)
+
+
+def test_passages_of_edge_rows(spark):
+    rows = edge_rows() + [(20, " ".join(f"w{i}" for i in range(500, 590))), (None, " ".join(f"w{i}" for i in range(510, 575))), (21, "a b " * 60)]
+    assert covered_words(spark, rows, 50, 16, 10) == expected_words(rows, 50)
+    assert suffix_dedup.repeated_passages(table(spark, rows).limit(0)).count() == 0
+
+
+def test_minimisers_depend_on_the_words_alone():
+    r = np.random.default_rng(1)
+    grams = r.integers(0, 50, 400).astype(np.uint64)
+    first, n = np.array([0, 100, 103, 103]), np.array([100, 3, 0, 297])
+    got = set(suffix_dedup._minimisers(grams, first, n, 16).tolist())
+    want = set()
+    for f, m in zip(first, n):
+        for i in range(f, f + max(m - 16 + 1, min(m, 1))):
+            part = grams[i:min(i + 16, f + m)]
+            want.add(int(i + np.argmin(part)))
+    assert got == want
