@@ -31,7 +31,7 @@ from phraseforge.llm.vectors import held_out, softmax, table_sum, temperature
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-ROWS_PER_LANGUAGE, MAX_ROWS = 400, 8000
+ROWS_PER_LANGUAGE, MAX_ROWS, SHARES = 400, 8000, 16
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 16)
 _SCALE = 64.0  # brings shares of n-grams to the size FTRL's step expects
@@ -162,8 +162,13 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_rows: i
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     df = table_sum(known.select("text"), _add_document_counts, FEATURES + 1)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= rows_per_language)
+    # the first rows of each language by hash: first within shares of a language, then among the shares' first
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
+    ids = known.select("doc_id", "lang", draw.alias("draw")).withColumn("share", F.pmod(F.xxhash64("draw"), F.lit(SHARES)))
+    first = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "share").orderBy("draw", "doc_id")))
+    first = first.filter(F.col("turn") <= rows_per_language)
+    chosen = first.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
+    chosen = chosen.filter(F.col("turn") <= rows_per_language).select("doc_id", "lang", "turn")
     # max_rows rows of two columns: small by its parameter, so it goes to every task and no text is shuffled
     chosen = chosen.orderBy("turn", "lang", "doc_id").limit(max_rows)
     sample = known.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "turn")),
@@ -182,7 +187,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_rows: i
                 model.learn(at, x, label)
     weights = model.weights()
     spared = [e for e in examples if e[3]]
-    logits = np.array([x @ weights[at] for at, x, _, _ in spared]).reshape(len(spared), -1)
+    logits = np.array([x @ weights[at] for at, x, _, _ in spared]).reshape(len(spared), weights.shape[1])
     heat = temperature(logits, np.array([e[2] for e in spared], np.int64))
     return LanguageModel(languages, _SCALE * idf[:, None] * weights, heat)
 
