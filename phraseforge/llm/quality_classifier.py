@@ -33,6 +33,7 @@ from phraseforge.llm.vectors import held_out, index_vectors, softmax, table_sum,
 SLOTS, WIDTH, ONES, REACH = 1 << 13, 24, 4, 2
 MAX_ROWS = 8000
 THRESHOLD = 0.3
+BLOCK_BYTES = 3 << 18  # text of one block: its tokens' vectors are held at once
 
 _KIND = np.zeros(256, np.uint8)  # 0 separator, 1 word character, 2 punctuation
 _KIND[0x21:0x80] = 2
@@ -55,7 +56,7 @@ def _add_contexts(batch: pa.RecordBatch, total: np.ndarray) -> None:
     """Random indexing: add each token's neighbours' index vectors to its slot's row."""
     index = index_vectors(SLOTS, WIDTH, ONES)
     rows = total.reshape(SLOTS, WIDTH)
-    for block in A.blocks(iter([batch]), "text"):
+    for block in A.blocks(iter([batch]), "text", BLOCK_BYTES):
         slot, first = _tokens(block.column("text"))
         if not len(slot):
             continue
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quality
     shared = docs.sparkSession.sparkContext.broadcast(model.vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in A.blocks(batches, "text"):
+        for block in A.blocks(batches, "text", BLOCK_BYTES):
             x = _pooled(block.column("text"), shared.value).astype(np.float32)
             yield pa.record_batch([block.column("id"), block.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
@@ -186,7 +187,7 @@ def with_score(docs: DataFrame, model: QualityModel, output: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in A.blocks(batches, "text"):
+        for block in A.blocks(batches, "text", BLOCK_BYTES):
             yield pa.record_batch([*block.columns, pa.array(shared.value.scores(block.column("text")))], [*block.schema.names, output])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
