@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: The separators of a word ``[^\x20\x09-\x0D]+``: space and the five ASCII controls 9-13.
 SEPARATORS = np.zeros(256, dtype=bool)

@@ -8,14 +8,19 @@
    step each): less than the text itself.  A probe at a block's own place *is*
    the block, so blocks need no rows of their own.
 2. A hit is extended by comparing the whole ``WINDOW``-word windows around it by
-   128-bit hash, against all other windows around hits.  A window whose words
+   96-bit hash, against all other windows around hits.  A window whose words
    also start earlier (smaller doc_id, or earlier in the same document) is
    repeated; runs of overlapping repeated windows are the maximal repeats, and
-   their words go.  The earliest start of a hash is an aggregate, so a passage
-   that a third of all documents share is summed up before it is shuffled, and
-   no pairs of documents are ever made.
+   their words go.  Of the windows that repeat inside one block of documents
+   only the earliest is compared with other blocks, so a passage that a third
+   of all documents share meets as one row a block, and no pairs of documents
+   are ever made.
 
-Hashes of 32 bits in step 1 can only add candidates; step 2 decides on 128 bits.
+A text that stands as a whole under a smaller doc_id too is settled before
+step 1: all its windows start earlier there, so all its words go (if they fill
+a window), and the smaller one stands for both in the search.
+
+Hashes of 32 bits in step 1 can only add candidates; step 2 decides on 96 bits.
 
 Defined results: null, empty and short texts have nothing removed; a null
 doc_id sorts before all others; rows that share a doc_id count as one document
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
@@ -39,7 +44,7 @@ from phraseforge.llm.common import partitions
 BLOCK = 10
 WINDOW = 2 * BLOCK
 #: Words whose probes are packed together before they are dealt to buckets.
-PACK = 2_000_000
+PACK = 500_000
 
 _NULL_ID = -(1 << 63)
 _PACKED = "bucket int, n int, docs binary, starts binary, steps binary, hashes binary, n_docs int"
@@ -140,10 +145,15 @@ def _cover(heads: np.ndarray, size: int, n: int) -> np.ndarray:
 
 
 def _candidates(block: int, window: int):
-    names = ["a", "b", "doc", "key", "pos"]
+    names = ["a", "b", "doc", "pos", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows around hits, with their 128-bit hashes."""
+        """The windows around hits, with their 96-bit hashes; ``tag`` is twice the
+        row's key, plus one if the window is settled.
+
+        Settled: the same words start earlier in this very block.  Such a
+        window is dealt by its document instead of its words, so
+        that it meets nothing from elsewhere and many of them add no skew."""
         for rows in A.blocks(batches, "text"):
             data, offsets = A.utf8(rows.column(2))
             start, end, first = A.words(data, offsets)
@@ -159,10 +169,18 @@ def _candidates(block: int, window: int):
             head = head[(np.cumsum(near[:-1]) > 0)[head]] if len(head) else head
             own = np.searchsorted(first, head, side="right") - 1
             a = _window_hashes(A.HASH_A, A.byte_hashes(A.HASH_A, data, start, end), head, window)
-            b = _window_hashes(A.HASH_B, A.byte_hashes(A.HASH_B, data, start, end), head, window)
+            b = _window_hashes(A.HASH_B, A.byte_hashes(A.HASH_B, data, start, end), head, window).astype(np.uint32)
             doc, key = (rows.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(key),
-                                   pa.array((head - first[own]).astype(np.int32))], names)
+            pos = head - first[own]
+            order = np.lexsort((pos, doc, b, a))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            lowest = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            later = np.zeros(len(order), bool)
+            later[order] = (doc[order] != doc[lowest]) | (pos[order] != pos[lowest])
+            a[later], b[later] = A.mix64(doc[later].view(np.uint64)), 0
+            tag = key.astype(np.int64) * 2 + later
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(tag)], names)
 
     return run
 
@@ -173,11 +191,17 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words left of every text, and the maximal repeats that went."""
         for rows in A.blocks(batches, "text"):
-            ids, keys = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            ids, keys = (rows.column(i).to_pylist() for i in (0, 1))
+            found = rows.column(4)
+            ends = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy(zero_copy_only=False)))
+            packed = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            f_key, f_pos = packed >> 32, packed & 0xFFFFFFFF
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, key, found in zip(rows.column(2).to_pylist(), keys, rows.column(3).to_pylist()):
+            for d, (text, key, copy) in enumerate(zip(rows.column(2).to_pylist(), keys, rows.column(3).to_pylist())):
                 words = (text or "").encode().split()
-                heads = np.array([f["pos"] for f in found or () if f["key"] == key], np.int64)
+                heads = f_pos[ends[d]:ends[d + 1]][f_key[ends[d]:ends[d + 1]] == key].astype(np.int64)
+                if copy:
+                    heads = np.arange(max(len(words) - window + 1, 0))
                 gone = _cover(heads, window, len(words))
                 left = [w for w, g in zip(words, gone.tolist()) if not g] if len(heads) else words
                 edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist() if len(heads) else []
@@ -192,23 +216,39 @@ def _kept(window: int):
     return run
 
 
+def _standing(rows: DataFrame) -> DataFrame:
+    """(doc, keys, n): keys of the rows whose whole text also stands under a smaller
+    doc_id, and the rows of a doc, where there are any such keys or several rows."""
+    texts = rows.select("doc", "key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    first = texts.groupBy("sha").agg(F.min("doc").alias("first"))
+    found = texts.join(first, "sha").groupBy("doc").agg(
+        F.collect_set(F.when(F.col("doc") > F.col("first"), F.col("key"))).alias("keys"), F.count(F.lit(1)).alias("n"))
+    return found.filter((F.size("keys") > 0) | (F.col("n") > 1))
+
+
 def remove_repeats(docs: DataFrame, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and repeats (word ranges that went)
     of every row, for repeats of ``2 * block`` words or more."""
     window = 2 * block
     parts = partitions(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("key"), "text")
-    packed = rows.select("doc", "text").mapInArrow(_probes(block, buckets or 2 * parts), _PACKED)
+    # texts are shuffled once, by document; all steps below read that one exchange
+    standing = _standing(rows).hint("shuffle_hash")
+    texts = (rows.repartition(parts, "doc").join(standing, "doc", "left")
+             .select("doc", F.when(F.col("n") > 1, F.col("key")).otherwise(0).alias("key"), "text",
+                     F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False)).alias("copy")))
+    own = texts.filter(~F.col("copy")).select("doc", "text", "key")
+    packed = own.mapInArrow(_probes(block, buckets or parts), _PACKED)
     hits = packed.groupBy("bucket").applyInArrow(_hits(block), "doc long, places binary")
-    hits = hits.groupBy("doc").agg(F.collect_list("places").alias("places"))
-    near = rows.join(hits, "doc").select("doc", "key", "text", "places")
-    # one exchange serves both the earliest start of each window and the comparison with it
-    windows = near.mapInArrow(_candidates(block, window), "a long, b long, doc long, key int, pos int").repartition(parts, "a", "b")
-    earliest = (windows.groupBy("a", "b").agg(F.min(F.struct("doc", "pos", "key")).alias("e"), F.count(F.lit(1)).alias("n"))
-                .filter("n > 1").select("a", "b", F.col("e.doc").alias("e_doc"), F.col("e.pos").alias("e_pos")))
-    later = (F.col("doc") > F.col("e_doc")) | ((F.col("doc") == F.col("e_doc")) & (F.col("pos") > F.col("e_pos")))
-    repeated = windows.join(earliest, ["a", "b"]).filter(later)
-    repeated = repeated.groupBy("doc").agg(F.collect_list(F.struct("key", "pos")).alias("found"))
-    return (rows.join(repeated, "doc", "left").select("doc", "key", "text", "found")
+    hits = hits.groupBy("doc").agg(F.collect_list("places").alias("places")).hint("shuffle_hash")
+    near = own.join(hits, "doc").select("doc", "key", "text", "places")
+    windows = near.mapInArrow(_candidates(block, window), "a long, b int, doc long, pos int, tag long")
+    by_place = Window.partitionBy("a", "b").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    windows = windows.withColumn("e_doc", F.first("doc").over(by_place)).withColumn("e_pos", F.first("pos").over(by_place))
+    settled = F.col("tag").bitwiseAND(F.lit(1)) != 0
+    repeated = windows.filter(settled | (F.col("doc") > F.col("e_doc")) | (F.col("pos") > F.col("e_pos")))
+    found = F.shiftleft(F.shiftright("tag", 1), 32) + F.col("pos")
+    repeated = repeated.groupBy("doc").agg(F.collect_list(found).alias("found")).hint("shuffle_hash")
+    return (texts.join(repeated, "doc", "left").select("doc", "key", "text", "copy", "found")
             .mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string, "
                                        "repeats array<struct<start:int,end:int>>"))
