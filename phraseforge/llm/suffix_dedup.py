@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
-from phraseforge.llm.common import partitions
+from phraseforge.llm.common import partitions, word_count
 
 LENGTH, SPAN, GRAM = 50, 16, 10
 
@@ -116,10 +116,10 @@ def _suffixes(length: int, span: int, gram: int):
 
 def _windows(length: int, span: int):
     sure = length - span + 1
-    names = ["a", "b", "doc", "key", "pos", "src_doc", "src_pos"]
+    names = ["a", "b", "doc", "pos", "key", "src_doc", "src_pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows around matches; src: an earlier place of the same words in this block."""
+        """The windows around matches; src is an earlier place of the same words in this block."""
         for rows in A.blocks(batches, "text"):
             data, offsets = A.utf8(rows.column(2))
             start, end, first = A.words(data, offsets)
@@ -139,7 +139,7 @@ def _windows(length: int, span: int):
             _, later, before = _met_here([b, a], doc, pos)
             src_doc, src_pos = pa.array(doc[before], mask=~later), pa.array(pos[before], mask=~later)
             a[later], b[later] = A.mix64(doc[later].view(np.uint64)), 0
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(doc), pa.array(key), pa.array(pos),
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(doc), pa.array(pos), pa.array(key),
                                    src_doc, src_pos], names)
 
     return run
@@ -176,22 +176,38 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, g
         raise ValueError("a passage must hold span + gram - 1 words, and a gram the words that are sure to agree")
     parts = partitions(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("key"), "text")
-    suffixes = rows.select("doc", "text").mapInArrow(_suffixes(length, span, gram), "h long, doc long, pos int, met boolean")
+    # a text that also stands as a whole under a smaller doc_id is one passage; the smaller one stands for both below
+    whole = rows.select("doc", "key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), word_count().alias("n"))
+    first = whole.groupBy("sha").agg(F.min("doc").alias("first"))
+    whole = whole.join(first, "sha").filter("doc > first")
+    copies = whole.groupBy("doc").agg(F.collect_set("key").alias("keys")).hint("shuffle_hash")
+    # texts are shuffled once, by document; both steps below read that one exchange
+    own = (rows.repartition(parts, "doc").join(copies, "doc", "left")
+           .filter(~F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False))).select("doc", "text", "key"))
+    suffixes = own.mapInArrow(_suffixes(length, span, gram), "h long, doc long, pos int, met boolean")
     sorted_ = Window.partitionBy("h").orderBy("doc", "pos")
     # a neighbour with the same first words
     equal = F.lag("doc").over(sorted_).isNotNull() | F.lead("doc").over(sorted_).isNotNull()
     matches = suffixes.withColumn("equal", equal).filter("met OR equal").groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    near = rows.join(matches.hint("shuffle_hash"), "doc").select("doc", "key", "text", "places")
-    windows = near.mapInArrow(_windows(length, span), "a long, b int, doc long, key int, pos int, src_doc long, src_pos int")
+    near = own.join(matches.hint("shuffle_hash"), "doc").select("doc", "key", "text", "places")
+    windows = near.mapInArrow(_windows(length, span), "a long, b int, doc long, pos int, key int, src_doc long, src_pos int")
     by_place = Window.partitionBy("a", "b").orderBy("doc", "pos")
-    place = F.struct("doc", "pos")
-    lowest = F.first(place).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.lag(place).over(by_place)
-    # the neighbour in the order; rows that share doc and place are no neighbours of each other
-    windows = windows.withColumn("e", F.when(before < place, before).otherwise(lowest))
-    settled = F.col("src_doc").isNotNull()
-    repeats = windows.filter(settled | (F.col("e") < place))
-    found = repeats.groupBy("doc").agg(F.collect_list(F.struct(
-        "key", "pos", F.when(settled, F.col("src_doc")).otherwise(F.col("e.doc")).alias("src"),
-        F.when(settled, F.col("src_pos")).otherwise(F.col("e.pos")).alias("src_pos"))).alias("found"))
-    return found.mapInArrow(_passages(length), "doc_id long, start long, n_words long, source_doc_id long, source_start long")
+    upto = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, seen in (("low", lambda c: F.first(c).over(upto)), ("lag", lambda c: F.lag(c).over(by_place))):
+        windows = windows.withColumn(f"{name}_doc", seen("doc")).withColumn(f"{name}_pos", seen("pos"))
+
+    def lies_before(name: str):
+        return (F.col(f"{name}_doc") < F.col("doc")) | ((F.col(f"{name}_doc") == F.col("doc")) & (F.col(f"{name}_pos") < F.col("pos")))
+
+    # settled in its block; else the neighbour in the order; rows that share doc and place are no neighbours of each other
+    kinds = [(F.col("src_doc").isNotNull(), "src"), (lies_before("lag"), "lag"), (lies_before("low"), "low")]
+
+    def source(part: str):
+        return F.coalesce(*[F.when(holds, F.col(f"{name}_{part}")) for holds, name in kinds])
+
+    repeats = windows.filter(F.coalesce(kinds[0][0] | kinds[1][0], F.lit(False)) | kinds[2][0])
+    found = repeats.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", source("doc").alias("src"), source("pos").alias("src_pos"))).alias("found"))
+    passages = found.mapInArrow(_passages(length), "doc_id long, start long, n_words long, source_doc_id long, source_start long")
+    zero = F.lit(0).cast("long")
+    return passages.union(whole.filter(F.col("n") >= length).select(
+        "doc", zero, "n", F.when(F.col("first") != _NULL_ID, F.col("first")), zero))
