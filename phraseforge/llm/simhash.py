@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
+from phraseforge.llm.common import text_or_empty
 from phraseforge.llm.components import components
 from phraseforge.session import materialize
 
@@ -85,15 +86,27 @@ def _block_fingerprints(column, shingle: int) -> np.ndarray:
     return _majority(h, n)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; fp holds the 64 bits in a long."""
+def _text_key():
+    """Digest that tells a row's text from others under the same doc_id."""
+    return F.sha2(text_or_empty(), 256).alias("key")
+
+
+def _with_fingerprint(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with the fingerprint fp in place of their last column, text."""
+    fields = rows.schema.fields[:-1]
+    names = [*(f.name for f in fields), "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in A.blocks(batches, "text"):
-            fp = _block_fingerprints(block.column(1), shingle)
-            yield pa.record_batch([block.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = _block_fingerprints(block.column("text"), shingle)
+            yield pa.record_batch([*block.columns[:-1], pa.array(fp.view(np.int64))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", fp long")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp) for every row; fp holds the 64 bits in a long."""
+    return _with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text"), shingle)
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -201,29 +214,36 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, segments: int = 3, hot:
     return links.distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest
-    doc_id reachable over links, itself included."""
-    own = materialize(fingerprints(docs, shingle))
+def _named(own: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """(fp, label, component_id) of every fingerprint; the label, itself a
+    fingerprint, is never null."""
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("node"))
     found = components(fingerprint_links(nodes.select("fp"), max_bits, segments))
     # fingerprints without a link are their own label, as is the smallest of a component
     labelled = nodes.join(found, nodes.fp == found.id, "left").select("fp", "node", F.coalesce("label", "fp").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("node").alias("component_id"))
-    named = labelled.join(lowest, "label").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return labelled.join(lowest, "label").select("fp", "label", "component_id")
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: component_id is the smallest
+    doc_id reachable over links, itself included."""
+    own = materialize(fingerprints(docs, shingle))
+    return own.join(_named(own, max_bits, segments), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the row with
-    the smallest doc_id (one row, if several carry it)."""
-    stay = near_groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+    the smallest doc_id (one row, if several carry it, or if all its ids are null)."""
+    own = materialize(_with_fingerprint(docs.select(F.col("doc_id").cast("long"), _text_key(), "text"), shingle))
+    stay = own.join(_named(own, max_bits, segments), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("stay"), F.col("key").alias("stay_key"), "label").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_key())
+    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")) & (F.col("key") == F.col("stay_key")))
     order = [F.col(f"row.`{c}`").cast("string") for c in docs.columns if c != "doc_id"]
-    first = Window.partitionBy("doc_id").orderBy(*order, F.lit(0))
+    first = Window.partitionBy("label").orderBy(*order, F.lit(0))
     return rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")

@@ -162,6 +162,18 @@ def test_drop_near_copies_leaves_one_of_each_group(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(groups)
 
 
+def test_drop_near_copies_keeps_every_group_without_ids(spark):
+    """Groups whose ids are all null, and texts that share one doc_id, each leave a row."""
+    apart = [" ".join(f"g{g}w{i}" for i in range(30)) for g in range(6)]
+    rows = [(None, t) for t in apart[:3]] + [(None, apart[0]), (None, apart[3]), (7, apart[3]), (9, apart[4]), (9, apart[5]), (9, apart[5])]
+    rows += [(None, None), (None, "")]
+    docs = table(spark, rows, "row,stay,stay_key,key,label,nth")
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in left.collect())
+    assert got == sorted([(0, apart[0]), (0, apart[1]), (0, apart[2]), (7, apart[3]), (9, apart[4]), (9, apart[5]), (0, "")])
+
+
 # --- substring dedup -------------------------------------------------------------
 
 def expected_repeats(rows, size):
