@@ -58,9 +58,9 @@ def _columns(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     key = np.zeros(len(c), np.uint64)
     for k, order in enumerate(ORDERS):
         key[:len(c) - k] |= c[k:] << np.uint64(21 * k)
-        # the last places of a text hold no whole n-gram
-        tail = np.maximum(offsets[1:, None] - 1 - np.arange(k)[None, :], offsets[:-1, None]).ravel() if k else np.zeros(0, np.int64)
-        tail = tail[tail < len(c)]
+        # the last places of a text hold no whole n-gram; an empty text has no places
+        tail = offsets[1:, None] - 1 - np.arange(k)[None, :]
+        tail = tail[tail >= offsets[:-1, None]]
         yield ((key + np.uint64(order)) * _SPREAD >> _SHIFT).astype(np.int64), tail, offsets
 
 

@@ -115,3 +115,14 @@ def test_ngram_scores_equal_a_plain_count(spark):
                 total, n = total + model.table[f], n + 1
         assert g == pytest.approx(total / max(n, 1), abs=1e-6)
     assert has.tolist() == [True, False, True, True, True, False]
+
+
+def test_ngram_scores_do_not_depend_on_empty_neighbours():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    model = language_id.LanguageModel(["x", "y"], rng.normal(size=(language_id.FEATURES, 2)), 1.0)
+    texts = ["abcd", "", None, "efg", "", "hi", "", "j", ""]
+    got, _ = model.logits(pa.array(texts))
+    for t, g in zip(texts, got):
+        assert g == pytest.approx(model.logits(pa.array([t], pa.string()))[0][0], abs=1e-6)
