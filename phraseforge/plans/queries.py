@@ -330,11 +330,11 @@ def q_stem_vocabulary(spark, sf_dir):
 
 
 def q_lda_keywords(spark, sf_dir):
-    """M5: LDA topic vectors of documents vs the distinct fixture-gold keywords;
-    each document's 10 nearest keywords (training corpus = all documents)."""
+    """M5: LDA topic vectors of documents vs the distinct keywords (all candidate
+    phrases); each document's 10 nearest keywords (training corpus = all documents)."""
     docs = _docs(spark, sf_dir)
-    gold, _ = _fixture_gold_and_pred(spark, sf_dir)
-    return TP.lda_keywords(docs.select("doc_id", "text"), docs.select("doc_id", "text"), gold)
+    keywords = K.candidate_runs(_tokens(spark, sf_dir)).select("doc_id", "phrase")
+    return TP.lda_keywords(docs.select("doc_id", "text"), docs.select("doc_id", "text"), keywords)
 
 
 EM_TOPICS, EM_ROUNDS = 4, 2  # small enough for one SQL statement
