@@ -34,16 +34,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+#: The prime 2^61 - 1: reducing by it takes shifts and sums only.
+_P = np.uint64((1 << 61) - 1)
+_LOW32, _LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+_S32, _S29, _S61, _S3 = np.uint64(32), np.uint64(29), np.uint64(61), np.uint64(3)
+
+
+#: Long arrays are multiplied in parts that stay in a processor's cache.
+_PART = 1 << 14
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime but for one possible prime too many: at most 2^61 + 6, for any 64-bit x."""
+    high = x >> _S61
+    x = x & _P
+    x += high
+    return x
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, folded, for folded a and b; from products of 32-bit halves."""
+    a1, a0, b1, b0 = a >> _S32, a & _LOW32, b >> _S32, b & _LOW32
+    middle = a1 * b0
+    middle += a0 * b1  # at most 2^62
+    a1 *= b1
+    a0 *= b0
+    # 2^64 is 8 and 2^61 is 1 modulo the prime
+    a1 <<= _S3
+    a1 += middle >> _S29
+    middle &= _LOW29
+    middle <<= _S32
+    a1 += middle
+    a1 += _fold(a0)
+    return _fold(a1)
+
+
 class RollingHash:
     """Polynomial hashes of any slice of a sequence from one running sum.
 
-    ``sum(v[k] * base^k)`` is accumulated modulo 2^64; a slice's hash is the
-    difference of two sums shifted back by the inverse power of its start, so
-    equal slices hash alike wherever they stand.  Values are scrambled first."""
+    ``sum(v[k] * base^k)`` is accumulated modulo the prime 2^61 - 1; a slice's
+    hash is the difference of two sums shifted back by the inverse power of its
+    start, so equal slices hash alike wherever they stand.  Two different slices
+    of n values collide for at most n of the 2^61 bases (modulo a power of two,
+    long regular texts would collide for every base)."""
 
     def __init__(self, base: int):
-        self._base = base | 3  # odd, and base - 1 divisible by 2 only once
-        self._inv = pow(self._base, -1, 1 << 64)
+        self._base = base % int(_P)
+        self._inv = pow(self._base, -1, int(_P))
         self._pow = np.ones(1, dtype=np.uint64)
         self._ipow = np.ones(1, dtype=np.uint64)
 
@@ -54,27 +91,42 @@ class RollingHash:
         k = len(have)
         while k < n:  # doubling: base^(k+i) = base^k * base^i
             m = min(k, n - k)
-            out[k:k + m] = out[:m] * np.uint64(pow(base, k, 1 << 64))
+            out[k:k + m] = mul61(out[:m], np.array([pow(base, k, int(_P))], np.uint64))
             k += m
         return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
+        """Running sums modulo the prime (folded), one more than values."""
         n = len(values) + 1
         if len(self._pow) < n:
             size = max(n, 1 << 16)
             self._pow = self._powers(self._base, self._pow, size)
             self._ipow = self._powers(self._inv, self._ipow, size)
         out = np.zeros(n, dtype=np.uint64)
-        np.cumsum(values * self._pow[: n - 1], dtype=np.uint64, out=out[1:])
+        for at in range(0, n - 1, _PART):
+            to = min(at + _PART, n - 1)
+            terms = mul61(_fold(values[at:to]), self._pow[at:to])
+            # halves are summed apart, so that no sum leaves 64 bits
+            high = _fold(np.cumsum(terms >> _S32, dtype=np.uint64))
+            part = np.cumsum(terms & _LOW32, dtype=np.uint64)
+            part += high >> _S29
+            part += (high & _LOW29) << _S32
+            part += out[at]
+            out[at + 1:to + 1] = _fold(part)
         return out
 
     def slices(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Scrambled hash of every slice [start, end); the length takes part."""
-        h = (sums[end] - sums[start]) * self._ipow[start]
-        return mix64(h + (end - start).astype(np.uint64))
+        out = np.empty(len(start), dtype=np.uint64)
+        for at in range(0, len(start), _PART):
+            s, e = start[at:at + _PART], end[at:at + _PART]
+            h = mul61(_fold(sums[e] + (_P + _P - sums[s])), self._ipow[s])
+            h[h >= _P] -= _P
+            out[at:at + _PART] = mix64(h + (e - s).astype(np.uint64) * _M1)
+        return out
 
 
-#: Two independent families; their pair is a 128-bit hash.
+#: Two independent families; their pair is a hash of 122 bits.
 HASH_A, HASH_B = RollingHash(0x9E3779B97F4A7C13), RollingHash(0xC2B2AE3D27D4EB4B)
 _BYTES_A = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTES_B = mix64(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
