@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseforge.llm import (exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup,
+from phraseforge.llm import (divergence, exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, substring_dedup,
                              suffix_dedup, token_counts)
 from phraseforge.sources.tables import table
 
@@ -78,6 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source against every other one of its language, and its ten most over-used terms."""
+    return divergence.audit(_docs(spark, sf_dir), min_docs=10, top=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -90,4 +95,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_divergence": op11_divergence,
     }
