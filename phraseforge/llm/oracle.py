@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from phraseforge.llm.pii import AFTER, AGAINST, BEFORE, CONTEXT, SCORES, THRESHOLD, WORDS
+
 W = r"[^\x20\x09-\x0D]+"
 
 OP8 = """
@@ -109,5 +111,52 @@ FROM x QUALIFY part = 'pair' OR rank <= 10
 """
 
 
+#: Patterns of the kinds of operator 12 for an engine without look-around, in the order of the kinds.
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "local_phone": r"\(?\b[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b",
+}
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS kind, '{k}' AS name, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gaps, "
+    f"{SCORES[k]} AS score, '{WORDS[k]}' AS words FROM d" for i, (k, p) in enumerate(_KINDS.items()))
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS ({_MATCHES}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM k),
+m AS (
+  SELECT doc_id, kind, name, words, score, ms[i] AS m, translate(ms[i], ' -().+', '') AS plain,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s,
+         lower(right(gaps[i], {BEFORE})) AS tail, lower(left(gaps[i + 1], {AFTER})) AS head FROM i),
+v AS (
+  SELECT *, CASE name
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(plain) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(plain) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN CAST(reverse(plain)[j] AS INTEGER) ELSE CAST(translate(reverse(plain)[j], '0123456789', '0246813579') AS INTEGER) END)) % 10 = 0
+    WHEN 'phone' THEN length(plain) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(plain[5:] || plain[:4], ''), lambda c:
+      CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, c: (a * CASE WHEN c >= 10 THEN 100 ELSE 10 END + c) % 97) = 1
+    WHEN 'ssn' THEN NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')
+    ELSE true END AS valid,
+    score + CASE WHEN regexp_matches(tail, words) OR regexp_matches(head, words) THEN {CONTEXT} ELSE 0 END
+          - CASE WHEN regexp_matches(tail, '{AGAINST}') THEN {CONTEXT} ELSE 0 END AS points FROM m),
+f AS (SELECT doc_id, kind, name, s, s + length(m) AS e FROM v WHERE valid AND (kind < 4 OR round(points, 3) >= {THRESHOLD})),
+o AS (
+  SELECT * FROM f WHERE kind < 4
+  UNION ALL
+  SELECT * FROM f WHERE kind >= 4 AND NOT EXISTS (FROM f b WHERE b.doc_id = f.doc_id AND b.kind < 4 AND b.s < f.e AND f.s < b.e)),
+w AS (SELECT *, name || ':' || s || ':' || e AS span FROM o)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,
+       count(*) FILTER (kind = 3) AS n_phone, sha256(coalesce(string_agg(span, ',' ORDER BY kind, s) FILTER (kind < 4), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY kind, s), '') AS spans
+FROM d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8, "op9_mixing": OP9, "op10_quality_rules": OP10, "op11_divergence": OP11}
+    return {"op8_exact_dedup": OP8, "op9_mixing": OP9, "op10_quality_rules": OP10, "op11_divergence": OP11, "op12_pii": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseforge.llm import (divergence, exact_dedup, language_id, mixing, pieces, quality_classifier, quality_rules, simhash, spelling,
+from phraseforge.llm import (divergence, exact_dedup, language_id, mixing, pieces, pii, quality_classifier, quality_rules, simhash, spelling,
                              substring_dedup, suffix_dedup, token_counts)
 from phraseforge.sources.tables import table
 
@@ -83,6 +83,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_docs(spark, sf_dir), min_docs=10, top=10)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, counts and a digest of the base kinds."""
+    return pii.summary(pii.find(_docs(spark, sf_dir)))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of five letters and three occurrences or more, their near words and the form they stand for."""
     return spelling.variants(_docs(spark, sf_dir), min_length=5, min_count=3, misspell=97)
@@ -101,5 +106,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
         "op11_divergence": op11_divergence,
+        "op12_pii": op12_pii,
         "op13_spelling": op13_spelling,
     }
