@@ -3,8 +3,9 @@
 1. Every document's white-space chunks are counted; a block of documents passes
    on one row per (language, source, chunk) with its documents and occurrences,
    and these are added up.
-2. Each globally distinct chunk is cut into terms once; its terms are joined
-   back, which gives the occurrences of a term in every group of documents.
+2. Dealt and sorted by chunk, each globally distinct chunk is cut into terms
+   once; its terms are joined back to the chunk's groups, which gives the
+   occurrences of a term in every group of documents.
 3. A language keeps the terms on enough of its documents.  The documents of a
    term lie between the largest and the sum of its chunks' documents; only where
    the limit lies between the two are its documents looked up: a second pass
@@ -30,22 +31,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
+from phraseforge.llm.common import partitions
 from phraseforge.session import materialize
 
-#: A term is a run of letters A-Z, a-z and anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, TOP = 10, 10
 #: Shares are counted in parts of this.
 SCALE = 1_000_000_000
 #: Bits of the filter in front of the second pass; (term, source) entries of a block of terms; cells of an array in it.
 FILTER_BITS, ENTRIES, CELLS = 1 << 24, 100_000, 1 << 20
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_COUNTED = ["lang", "source", "chunk", "docs", "n"]
+#: Bytes of a term (all bytes of characters beyond ASCII are above 0x7F), and A-Z lower-cased.
+_IN_TERM = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
+_LOWERED = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
 def _chunks(column) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -66,20 +70,16 @@ def _per_document(row: np.ndarray, chunk: np.ndarray, size: int) -> tuple[np.nda
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, chunk, docs, n) of every block; the chunk '' stands for the group itself."""
+    """(lang, source, chunk, docs, n) of every block."""
     for rows in A.blocks(batches, "text", BLOCK_BYTES):
         code, langs, sources = _codes(rows)
         row, chunk, distinct = _chunks(rows.column("text"))
         row, chunk, times = _per_document(row, chunk, len(distinct))
         both, at, docs = np.unique(code[row] * max(len(distinct), 1) + chunk, return_inverse=True, return_counts=True)
         n = np.bincount(at, weights=times, minlength=len(both)).astype(np.int64)
-        of, which = both // max(len(distinct), 1), both % max(len(distinct), 1)
-        seen, rows_of = np.unique(code, return_counts=True)
-        zero = pa.array(np.zeros(len(seen), np.int64))
-        yield pa.record_batch([langs.take(pa.array(np.concatenate([of, seen]))), sources.take(pa.array(np.concatenate([of, seen]))),
-                               pa.concat_arrays([distinct.take(pa.array(which)), pa.array([""] * len(seen), pa.large_string())]).cast(pa.string()),
-                               pa.concat_arrays([pa.array(docs.astype(np.int64)), pa.array(rows_of.astype(np.int64))]),
-                               pa.concat_arrays([pa.array(n), zero])], ["lang", "source", "chunk", "docs", "n"])
+        of, which = pa.array(both // max(len(distinct), 1)), pa.array(both % max(len(distinct), 1))
+        yield pa.record_batch([langs.take(of), sources.take(of), distinct.take(which).cast(pa.string()), pa.array(docs.astype(np.int64)), pa.array(n)],
+                              _COUNTED)
 
 
 def _codes(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -90,6 +90,63 @@ def _codes(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
     return code.astype(np.int64), lang.dictionary.take(pa.array(both // wide)), source.dictionary.take(pa.array(both % wide))
 
 
+def _added_up(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(chunk, group, docs, n) of each chunk in each group, sorted; the chunks, and the
+    language and source of each group."""
+    chunk = rows.column("chunk").dictionary_encode()
+    code, langs, sources = _codes(rows)
+    both, at = np.unique(chunk.indices.to_numpy().astype(np.int64) * max(len(langs), 1) + code, return_inverse=True)
+    docs, n = (np.zeros(len(both), np.int64) for _ in range(2))
+    np.add.at(docs, at, rows.column("docs").to_numpy())
+    np.add.at(n, at, rows.column("n").to_numpy())
+    return both // max(len(langs), 1), both % max(len(langs), 1), docs, n, chunk.dictionary, langs, sources
+
+
+def _cut_chunks(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of whole chunks to (lang, source, chunk, term, docs, docs of the chunk in the language, n)."""
+    chunk, group, docs, n, chunks, langs, sources = _added_up(rows)
+    lang = langs.dictionary_encode()
+    of_lang = chunk * max(len(lang.dictionary), 1) + lang.indices.to_numpy()[group]
+    seen, at = np.unique(of_lang, return_inverse=True)
+    together = np.zeros(len(seen), np.int64)
+    np.add.at(together, at, docs)
+    # terms of each distinct chunk: runs of letters and bytes beyond ASCII, with A-Z lower-cased
+    data, offsets = A.utf8(chunks)
+    start, end, first = A.runs(_IN_TERM[data], offsets)
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    lower = _LOWERED[data[_IN_TERM[data]]]
+    found = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(lower)).dictionary_encode()
+    owner, term, times = _per_document(np.repeat(np.arange(len(chunks)), np.diff(first)), found.indices.to_numpy().astype(np.int64), len(found.dictionary))
+    # joined back: every term of a chunk with every group of the chunk
+    begin = np.searchsorted(chunk, np.arange(len(chunks) + 1))
+    width = np.diff(begin)[owner]
+    entry, pair = A.spread(begin[owner], width), np.repeat(np.arange(len(owner)), width)
+    of = pa.array(group[entry])
+    return pa.record_batch([langs.take(of), sources.take(of), chunks.take(pa.array(owner[pair])), found.dictionary.take(pa.array(term[pair])).cast(pa.string()),
+                            pa.array(docs[entry]), pa.array(together[at][entry]), pa.array(n[entry] * times[pair])],
+                           ["lang", "source", "chunk", "term", "docs", "of_chunk", "n"])
+
+
+def _chunk_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_cut_chunks`, from rows sorted by chunk: a chunk's rows are added
+    up until its last one has come, however many batches they fill."""
+    held = None
+    for rows in batches:
+        if held is not None:
+            rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+        if not rows.num_rows:
+            continue
+        same = pc.equal(rows.column("chunk"), rows.column("chunk")[-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield _cut_chunks(rows.slice(0, cut))
+        chunk, group, docs, n, chunks, langs, sources = _added_up(rows.slice(cut))
+        held = pa.record_batch([langs.take(pa.array(group)), sources.take(pa.array(group)), chunks.take(pa.array(chunk)), pa.array(docs), pa.array(n)], _COUNTED)
+    if held is not None:
+        yield _cut_chunks(held)
+
+
 def _slots(lang: pa.Array, chunk: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of each (language, chunk) in the filter."""
     def hashes(column):
@@ -137,28 +194,25 @@ def _documents_of(docs: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
 
 
 def chunk_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, term, docs, n): documents and occurrences of each chunk in
-    each group, and each term of it; a row with a null term for each group."""
+    """(lang, source, chunk, term, docs, of_chunk, n): documents and occurrences of each
+    chunk in each group, documents of the chunk in the language, once per term of it."""
     counts = docs.mapInArrow(_count_chunks, "lang string, source string, chunk string, docs long, n long")
-    counts = counts.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    found = F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    terms = counts.select("chunk").distinct().select("chunk", F.explode(found).alias("term"))
-    terms = terms.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
-    groups = counts.filter("chunk = ''").select("lang", "source", "chunk", F.lit(None).cast("string").alias("term"), "docs", "n")
-    return counts.join(terms, "chunk").select("lang", "source", "chunk", "term", "docs", (F.col("n") * F.col("times")).alias("n")).union(groups)
+    counts = counts.repartition(partitions(docs), "chunk").sortWithinPartitions("chunk")
+    return counts.mapInArrow(_chunk_terms, "lang string, source string, chunk string, term string, docs long, of_chunk long, n long")
 
 
 def kept_terms(docs: DataFrame, parts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term) on ``min_docs`` documents of the language or more."""
-    of_chunk = parts.filter("term IS NOT NULL").groupBy("lang", "chunk", "term").agg(F.sum("docs").alias("docs"))
-    bounds = of_chunk.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
-    bounds = materialize(bounds.filter(F.col("most") >= min_docs))
-    sure = bounds.filter(F.col("least") >= min_docs).select("lang", "term")
-    open_ = materialize(of_chunk.join(bounds.filter(F.col("least") < min_docs), ["lang", "term"]).select("lang", "chunk", "term"))
-    rows = _documents_of(docs, open_.select("lang", "chunk").distinct(), min_docs)
-    looked_up = (open_.join(rows, ["lang", "chunk"]).groupBy("lang", "term").agg(F.countDistinct("row").alias("docs"))
-                 .filter(F.col("docs") >= min_docs).select("lang", "term"))
-    return materialize(sure.union(looked_up))
+    """The rows of terms on ``min_docs`` documents of the language or more, as (lang, source, term, n)."""
+    whole = Window.partitionBy("lang", "term")
+    parts = parts.withColumn("least", F.max("of_chunk").over(whole)).withColumn("most", F.sum("docs").over(whole))
+    parts = materialize(parts.filter(F.col("most") >= min_docs))
+    unclear = parts.filter(F.col("least") < min_docs).select("lang", "term", "chunk").distinct()
+    rows = _documents_of(docs, unclear.select("lang", "chunk").distinct(), min_docs)
+    looked_up = (unclear.join(rows, ["lang", "chunk"]).groupBy("lang", "term").agg(F.countDistinct("row").alias("found"))
+                 .filter(F.col("found") >= min_docs).select("lang", "term"))
+    sure = parts.filter(F.col("least") >= min_docs).select("lang", "source", "term", "n")
+    more = parts.filter(F.col("least") < min_docs).join(looked_up, ["lang", "term"]).select("lang", "source", "term", "n")
+    return materialize(sure.union(more).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
 
 
 def _share(count: Column | str) -> Column:
@@ -206,13 +260,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     """lang, source, part, item, value, rank: every source against each other source of
     its language (part ``pair``), and its ``top`` most over-used terms (part ``term``)."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    parts = materialize(chunk_terms(docs))
-    kept = kept_terms(docs, parts, min_docs)
-    counts = parts.filter("term IS NOT NULL").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"))
-    size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    counts = kept_terms(docs, chunk_terms(docs), min_docs)
+    size = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"))
-    groups = (parts.filter("term IS NULL").select("lang", "source").join(total, ["lang", "source"], "left").join(size, "lang", "left")
+    groups = (docs.select("lang", "source").distinct().join(total, ["lang", "source"], "left").join(size, "lang", "left")
               .select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "entries", "kept")]))
     groups = materialize(groups.withColumn("none", _share("0")))
 
