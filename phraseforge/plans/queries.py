@@ -330,11 +330,15 @@ def q_stem_vocabulary(spark, sf_dir):
 
 
 def q_lda_keywords(spark, sf_dir):
-    """M5: LDA topic vectors of documents vs the distinct keywords (all candidate
-    phrases); each document's 10 nearest keywords (training corpus = all documents)."""
-    docs = _docs(spark, sf_dir)
+    """M5 at K = 200: topics of the training texts (four of five documents by a hash of
+    the id, and every conversation turn twice), and for each held-out document its 10
+    nearest of all distinct keywords (all candidate phrases)."""
+    train, _ = _topic_corpora(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("doc_id", TP.title_abstract(F.substring_index("text", "\n", 1), "text").alias("text"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    train = train.join(docs.where(held_out).select(F.concat(F.lit("d"), "doc_id").alias("id")), "id", "left_anti")
     keywords = K.candidate_runs(_tokens(spark, sf_dir)).select("doc_id", "phrase")
-    return TP.lda_keywords(docs.select("doc_id", "text"), docs.select("doc_id", "text"), keywords)
+    return TP.lda_keywords(train.withColumnRenamed("id", "doc_id"), docs.where(held_out), keywords)
 
 
 EM_TOPICS, EM_ROUNDS = 4, 2  # small enough for one SQL statement

@@ -75,3 +75,12 @@ def materialize(df):
     lost executor costs a re-read, not a recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that the caller wrote below the shared checkpoint folder and has replaced."""
+    if not path.startswith(checkpoint_dir(spark)):
+        raise ValueError(f"{path} is not below the checkpoint folder")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
