@@ -11,6 +11,7 @@ import re
 
 from phraseforge.functions.tagging import DT_WORDS, sql_fixture_tag, sql_token_array
 from phraseforge.functions.text import GOOD_POS
+from phraseforge.plans.oracle_stem import stemmed_oracles
 
 GOOD = ", ".join(f"'{t}'" for t in GOOD_POS)
 
@@ -91,6 +92,8 @@ SELECT page_id AS doc_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY
 SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(list_filter(lines, lambda x: x = '')) AS INTEGER) AS n_blank FROM l"""
     q.update(format_oracles(q))
     q.update(topic_oracles(top_n=top_k))
+    q.update(stemmed_oracles(q))
+    q["nonredundant_phrases"] = q["redundancy_filter"]
     return q
 
 

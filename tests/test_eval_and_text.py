@@ -114,7 +114,8 @@ def test_ngram_tfidf_against_hand_computation(spark):
 
 
 def test_stemmer_pairs_and_vocabulary_job(spark):
-    from phraseforge.functions.stem import stem_vocabulary, stem_word
+    from phraseforge.functions.stem import stem_vocabulary
+    from tests.plain_stemmer import stem_word
 
     pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "filing": "file",
              "relational": "relat", "generously": "generous", "communication": "communic", "skies": "ski",
@@ -125,6 +126,27 @@ def test_stemmer_pairs_and_vocabulary_job(spark):
     assert got == pairs
 
 
+def test_stem_rules_equal_the_word_by_word_stemmer_and_sql(spark):
+    import random
+
+    import duckdb
+    from phraseforge.functions import stem as ST
+    from phraseforge.plans.oracle_stem import stem_ctes
+    from tests.plain_stemmer import stem_word
+
+    r = random.Random(4)
+    endings = [x for x, _ in ST.STEP2 + ST.STEP3] + list(ST.STEP4) + ["s", "ies", "ied", "sses", "us", "ed", "edly", "ingly", "eed", "y", "e", "ll", "'s", "'s'", "'"]
+    words = {*ST.EXCEPTIONS, *ST.STOPWORDS, *ST.AFTER_1A, "yyy", "sayy", "boy", "by", "é", "éing", "'", "''s", "y", "HOPPING", "generally", "arsenal", ""}
+    words |= {"".join(r.choices("aeiouybcdlmnstrzxw'", k=r.randint(0, 6))) + "".join(r.choices(endings, k=r.randint(0, 3))) for _ in range(6000)}
+    want = {w: stem_word(w) for w in words}
+    got = {x["token"]: x["stem"] for x in ST.stem_vocabulary(spark.createDataFrame([(w,) for w in words] + [(None,)], "token string")).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v (token VARCHAR)")
+    con.execute("INSERT INTO v SELECT unnest(?)", [sorted(words)])
+    assert dict(con.execute("WITH " + stem_ctes("v") + " SELECT token, stem FROM stems").fetchall()) == want
+
+
 def test_stem_map_in_ngram_and_dictionary_pipelines(spark):
     from phraseforge.functions.stem import stem_vocabulary
 
