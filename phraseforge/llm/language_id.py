@@ -164,7 +164,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_rows: i
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # the first rows of each language by hash: first within shares of a language, then among the shares' first
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
-    ids = known.select("doc_id", "lang", draw.alias("draw")).withColumn("share", F.pmod(F.xxhash64("draw"), F.lit(SHARES)))
+    ids = known.select("doc_id", "lang").distinct().select("doc_id", "lang", draw.alias("draw")).withColumn("share", F.pmod(F.xxhash64("draw"), F.lit(SHARES)))
     first = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "share").orderBy("draw", "doc_id")))
     first = first.filter(F.col("turn") <= rows_per_language)
     chosen = first.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
@@ -173,7 +173,11 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_rows: i
     chosen = chosen.orderBy("turn", "lang", "doc_id").limit(max_rows)
     sample = known.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "turn")),
                         (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("lang", "turn", "text")
+    # rows that repeat an id and language: one of them stands for all, whatever their number
+    sample = sample.groupBy("lang", "turn").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sample.mapInArrow(_sparse, "lang string, turn int, features array<int>, counts array<int>").collect()
+    if len(rows) > max_rows:
+        raise AssertionError(f"{len(rows)} rows drawn, {max_rows} at most")
     languages = sorted({r["lang"] for r in rows})
     model = FTRL(FEATURES, max(1, len(languages)))
     examples = []

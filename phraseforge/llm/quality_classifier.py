@@ -169,7 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quality
             yield pa.record_batch([block.column("id"), block.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    # rows that repeat an id: one of them stands for all, whatever their number
+    sample = sample.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sample.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect()
+    if len(rows) > max_rows:
+        raise AssertionError(f"{len(rows)} rows drawn, {max_rows} at most")
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), 3 * WIDTH + 1)
     model.learn(x, np.array([r["y"] for r in rows], np.int64), np.arange(len(rows)) % 5 == 0)

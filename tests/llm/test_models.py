@@ -126,3 +126,17 @@ def test_ngram_scores_do_not_depend_on_empty_neighbours():
     got, _ = model.logits(pa.array(texts))
     for t, g in zip(texts, got):
         assert g == pytest.approx(model.logits(pa.array([t], pa.string()))[0][0], abs=1e-6)
+
+
+def test_samples_stay_bounded_when_rows_repeat(spark):
+    """A third of all rows under one id, and every other row twice: the draw never holds more than its bound."""
+    rows = [(1, f"the cat and the dog {i % 3}", "en", "a") for i in range(1000)]
+    rows += [(i, text, lang, "a") for i in range(2, 60) for lang, text in (("en", "the cat sat on the mat"), ("de", "der hund und die katze")) for _ in range(2)]
+    docs = table(spark, rows).repartition(5)
+    once = table(spark, list(dict.fromkeys(rows)))
+    model = language_id.fit(docs, rows_per_language=30, max_rows=40)  # raises beyond 40 rows
+    assert model.languages == ["de", "en"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] * 3, "doc_id long, quality int")
+    quality_classifier.fit(docs, labels, max_rows=45)
+    got, want = (sorted(map(tuple, language_id.predict(once, language_id.fit(d, 30, 40)).collect()), key=str) for d in (docs, docs.repartition(2)))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
