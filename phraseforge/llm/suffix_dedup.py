@@ -6,22 +6,31 @@
    passage of ``LENGTH`` words has the same minimiser in all its copies, within
    its first ``SPAN`` words, and the suffixes there agree in ``LENGTH - SPAN + 1``
    words or more.
-2. The suffixes are sorted by the hash of that many first words and compared
-   with their neighbours: a suffix with an equal neighbour is a match.
-3. Matches are extended to the left and right: all ``LENGTH``-word windows around
-   them are compared by 96-bit hash; a window that also starts earlier (smaller
-   doc_id, or earlier in the document) is a repeat of its neighbour in the order
-   of places, and runs of repeats of one neighbour are the maximal passages.
-
-Suffixes and windows that meet an equal one inside their own block of documents
-are decided there and dealt by document, so that a passage in a third of all
-documents meets as one row a block and no pairs are made.
+2. The suffixes are range-sorted over all tasks: by the letters their first word
+   starts with, by a hash of the words that are sure to agree, and by place, so
+   that equal suffixes are neighbours and a popular passage spreads over tasks.
+   A suffix with an equal neighbour is a match; the first and the last suffix of
+   a task may have theirs in the next task and are taken along.
+3. Matches are extended to the left and right: every ``LENGTH``-word window around
+   one is compared, by a hash of 93 bits, with the windows around all others.  A
+   window that also starts earlier (smaller doc_id, or earlier in the document)
+   is a repeat.  Its source is the earliest place of its words; or, if it also
+   starts at most ``LENGTH`` words before in the same row (a period), the last
+   such place.  Repeats whose sources move along with them and whose words touch
+   are one passage: it ends where the words differ or an earlier source begins.
+
+Windows of a block of documents that have the same words travel as one row, and
+the earliest place is a minimum that is summed up before it is joined back, so a
+passage that a third of all documents share meets as one row a block and no
+pairs are made.  All choices are by place: the result does not depend on how the
+rows are dealt.
 
 Defined results: null, empty and short texts have no passages; a null doc_id
-sorts before all others; rows that share a doc_id count as one document (a
-window at the same place in two of them is not earlier in either) and are
-reported one by one; an empty table gives an empty result; extra columns are
-ignored.
+sorts before all others; a text that stands as a whole under a smaller doc_id
+too is one passage from there; rows that share a doc_id count as one document (a
+window at the same place in two of them is not earlier in either), and identical
+rows are reported once; very long texts are processed whole; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
@@ -68,29 +77,19 @@ def _minimisers(grams: np.ndarray, first: np.ndarray, n: np.ndarray, span: int)
     return np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
 
 
-def _met_here(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lowest place with equal keys in this block, does it lie before the row's
-    own, the place just before the row's own: its neighbour)."""
-    order = np.lexsort((pos, doc, *keys))
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-    low = np.zeros(len(order), np.int64)
-    low[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    before = np.zeros(len(order), np.int64)
-    before[order[1:]] = order[:-1]
-    # rows that share doc and place are no neighbours of each other
-    alike = (doc == doc[before]) & (pos == pos[before]) if len(order) else np.zeros(0, bool)
-    return low, (doc != doc[low]) | (pos != pos[low]), np.where(alike, low, before)
+def _head(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each slice as a signed number that sorts as they do."""
+    at = start[:, None] + np.arange(8)
+    raw = np.where(at < end[:, None], data[np.minimum(at, max(len(data) - 1, 0))], 0) if len(data) else np.zeros((0, 8), np.uint8)
+    number = np.ascontiguousarray(raw.astype(np.uint8)).view(">u8").astype(np.uint64).ravel()
+    return (number ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _suffixes(length: int, span: int, gram: int):
     sure = length - span + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(h, doc, pos, met): the suffixes at minimisers, keyed by their first words.
-
-        ``met``: an equal suffix stands in the same block.  All but the lowest of
-        these need no neighbour elsewhere and are dealt by document."""
+        """(head, h, doc, pos): the suffixes at minimisers, with what they are sorted by."""
         for rows in A.blocks(batches, "text"):
             data, offsets = A.utf8(rows.column(1))
             start, end, first = A.words(data, offsets)
@@ -103,23 +102,47 @@ def _suffixes(length: int, span: int, gram: int):
             chosen, own = chosen[fits], own[fits]
             h = _slices(A.HASH_A, words, chosen, sure)
             doc = rows.column(0).to_numpy(zero_copy_only=False)[own]
-            pos = chosen - first[own]
-            low, later, _ = _met_here([h], doc, pos)
-            met = later.copy()
-            met[low[later]] = True
-            h[later] = A.mix64(doc[later].view(np.uint64))
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(met)],
-                                  ["h", "doc", "pos", "met"])
+            yield pa.record_batch([pa.array(_head(data, start[chosen], end[chosen])), pa.array(h.view(np.int64)), pa.array(doc),
+                                   pa.array((chosen - first[own]).astype(np.int32))], ["head", "h", "doc", "pos"])
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, pos) of the sorted suffixes that equal the one before or after them, and of
+    the first and the last of the task."""
+    held = None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        if held is not None:
+            rows = pa.Table.from_batches([held[0], rows]).combine_chunks().to_batches()[0]
+        head, h = (rows.column(i).to_numpy() for i in (0, 1))
+        same = (head[1:] == head[:-1]) & (h[1:] == h[:-1])
+        match = np.zeros(len(h), bool)
+        match[1:] |= same
+        match[:-1] |= same
+        match[0] |= held is None or held[1]  # a task's first, or one that equalled the last of an earlier batch
+        last = bool(match[-1])
+        held = rows.slice(len(h) - 1), last
+        match[-1] = False  # decided with the next batch
+        yield rows.select(["doc", "pos"]).filter(pa.array(match))
+    if held is not None:
+        yield held[0].select(["doc", "pos"])
+
+
+_PLACES = pa.list_(pa.struct([("doc", pa.int64()), ("pos", pa.int32()), ("key", pa.int32())]))
+
+
 def _windows(length: int, span: int):
     sure = length - span + 1
-    names = ["a", "b", "doc", "pos", "key", "src_doc", "src_pos"]
+    names = ["a", "b", "doc", "pos", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows around matches; src is an earlier place of the same words in this block."""
+        """The windows around matches, one row for those of a block with the same words:
+        the earliest place and all places.  A window that overlaps one with the same
+        words before it in its row has its source there: hashes null, places are
+        itself and, as ``doc`` and ``pos``, the source."""
         for rows in A.blocks(batches, "text"):
             data, offsets = A.utf8(rows.column(2))
             start, end, first = A.words(data, offsets)
@@ -131,23 +154,40 @@ def _windows(length: int, span: int):
                 np.add.at(near, p + 1, -1)
             head = A.spread(first[:-1], np.maximum(np.diff(first) - length + 1, 0))
             head = head[(np.cumsum(near[:-1]) > 0)[head]] if len(head) else head
+            if not len(head):
+                continue
             own = np.searchsorted(first, head, side="right") - 1
             a = _slices(A.HASH_A, A.byte_hashes(A.HASH_A, data, start, end), head, length)
             b = _slices(A.HASH_B, A.byte_hashes(A.HASH_B, data, start, end), head, length).astype(np.uint32)
             doc, key = (rows.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
             pos = (head - first[own]).astype(np.int32)
-            _, later, before = _met_here([b, a], doc, pos)
-            src_doc, src_pos = pa.array(doc[before], mask=~later), pa.array(pos[before], mask=~later)
-            a[later], b[later] = A.mix64(doc[later].view(np.uint64)), 0
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(doc), pa.array(pos), pa.array(key),
-                                   src_doc, src_pos], names)
+            # periods: the same words at most ``length`` words before in the same row
+            order = np.lexsort((pos, own, b, a))
+            same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+            same &= pos[order[1:]] - pos[order[:-1]] <= length
+            mine, before = order[1:][same], order[:-1][same]
+            others = np.ones(len(head), bool)
+            others[mine] = False
+            # the others: together by words, the earliest place first
+            rest = np.flatnonzero(others)
+            rest = rest[np.lexsort((pos[rest], doc[rest], b[rest], a[rest]))]
+            new = np.ones(len(rest), bool)
+            new[1:] = (a[rest[1:]] != a[rest[:-1]]) | (b[rest[1:]] != b[rest[:-1]])
+            groups = np.flatnonzero(new)
+            every = np.concatenate([rest, mine])
+            ends = np.concatenate([groups, len(rest) + np.arange(len(mine) + 1)]).astype(np.int32)
+            listed = pa.StructArray.from_arrays([pa.array(doc[every]), pa.array(pos[every]), pa.array(key[every])], fields=list(_PLACES.value_type))
+            low = np.concatenate([rest[groups], before])
+            unknown = np.arange(len(low)) >= len(groups)
+            yield pa.record_batch([pa.array(a[low].view(np.int64), mask=unknown), pa.array(b[low].view(np.int32), mask=unknown), pa.array(doc[low]),
+                                   pa.array(pos[low]), pa.ListArray.from_arrays(pa.array(ends), listed)], names)
 
     return run
 
 
 def _passages(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of repeated windows against one earlier document, in step."""
+        """Repeated windows of a document whose sources move along with them, and whose words touch."""
         for rows in batches:
             n = pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(rows.num_rows), n)
@@ -156,7 +196,7 @@ def _passages(length: int):
             order = np.lexsort((pos, shift, src, key, row))
             cols = [c[order] for c in (row, key, src, shift)]
             new = np.ones(len(order), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0) | (np.diff(pos[order]) != 1)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0) | (np.diff(pos[order]) > length)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(order))[:len(first)] - 1
             begin, size = pos[order][first], pos[order][last] - pos[order][first] + length
@@ -170,8 +210,8 @@ def _passages(length: int):
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """One row per maximal passage of ``length`` words or more that also stands
-    earlier: doc_id, start (word), n_words, source_doc_id, source_start."""
+    """One row per passage of ``length`` words or more that also stands earlier:
+    doc_id, start (word), n_words, source_doc_id, source_start."""
     if span + gram - 1 > length or gram > length - span + 1:
         raise ValueError("a passage must hold span + gram - 1 words, and a gram the words that are sure to agree")
     parts = partitions(docs)
@@ -184,30 +224,21 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, span: int = SPAN, g
     # texts are shuffled once, by document; both steps below read that one exchange
     own = (rows.repartition(parts, "doc").join(copies, "doc", "left")
            .filter(~F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False))).select("doc", "text", "key"))
-    suffixes = own.mapInArrow(_suffixes(length, span, gram), "h long, doc long, pos int, met boolean")
-    sorted_ = Window.partitionBy("h").orderBy("doc", "pos")
-    # a neighbour with the same first words
-    equal = F.lag("doc").over(sorted_).isNotNull() | F.lead("doc").over(sorted_).isNotNull()
-    matches = suffixes.withColumn("equal", equal).filter("met OR equal").groupBy("doc").agg(F.collect_list("pos").alias("places"))
+    order = ["head", "h", "doc", "pos"]
+    suffixes = own.mapInArrow(_suffixes(length, span, gram), "head long, h long, doc long, pos int")
+    suffixes = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    matches = suffixes.mapInArrow(_neighbours, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("places"))
     near = own.join(matches.hint("shuffle_hash"), "doc").select("doc", "key", "text", "places")
-    windows = near.mapInArrow(_windows(length, span), "a long, b int, doc long, pos int, key int, src_doc long, src_pos int")
-    by_place = Window.partitionBy("a", "b").orderBy("doc", "pos")
-    upto = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for name, seen in (("low", lambda c: F.first(c).over(upto)), ("lag", lambda c: F.lag(c).over(by_place))):
-        windows = windows.withColumn(f"{name}_doc", seen("doc")).withColumn(f"{name}_pos", seen("pos"))
-
-    def lies_before(name: str):
-        return (F.col(f"{name}_doc") < F.col("doc")) | ((F.col(f"{name}_doc") == F.col("doc")) & (F.col(f"{name}_pos") < F.col("pos")))
-
-    # settled in its block; else the neighbour in the order; rows that share doc and place are no neighbours of each other
-    kinds = [(F.col("src_doc").isNotNull(), "src"), (lies_before("lag"), "lag"), (lies_before("low"), "low")]
-
-    def source(part: str):
-        return F.coalesce(*[F.when(holds, F.col(f"{name}_{part}")) for holds, name in kinds])
-
-    repeats = windows.filter(F.coalesce(kinds[0][0] | kinds[1][0], F.lit(False)) | kinds[2][0])
-    found = repeats.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", source("doc").alias("src"), source("pos").alias("src_pos"))).alias("found"))
+    windows = near.mapInArrow(_windows(length, span), "a long, b int, doc long, pos int, places array<struct<doc:long,pos:int,key:int>>")
+    # the earliest place of every window: summed up first, then joined back to the blocks' rows
+    place = F.struct("doc", "pos")
+    first = windows.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("rows"))
+    met = windows.filter("a IS NOT NULL").join(first, ["a", "b"]).filter((F.col("rows") > 1) | (F.size("places") > 1)).select("e", "places")
+    periods = windows.filter("a IS NULL").select(place.alias("e"), "places")
+    found = met.union(periods).select("e", F.explode("places").alias("w")).filter(F.struct("w.doc", "w.pos") > F.col("e"))
+    found = found.groupBy(F.col("w.doc").alias("doc")).agg(F.collect_list(
+        F.struct("w.key", "w.pos", F.col("e.doc").alias("src"), F.col("e.pos").alias("src_pos"))).alias("found"))
     passages = found.mapInArrow(_passages(length), "doc_id long, start long, n_words long, source_doc_id long, source_start long")
     zero = F.lit(0).cast("long")
     return passages.union(whole.filter(F.col("n") >= length).select(
-        "doc", zero, "n", F.when(F.col("first") != _NULL_ID, F.col("first")), zero))
+        "doc", zero, "n", F.when(F.col("first") != _NULL_ID, F.col("first")), zero).distinct())

@@ -222,47 +222,66 @@ def test_repeats_of_edge_rows(spark):
 
 # --- suffix-array dedup ------------------------------------------------------------
 
-def covered_words(spark, rows, length, span, gram):
-    """{(doc, word place)} of all reported passages, each checked against the earlier place it names."""
-    texts = {}
-    for d, t, *_ in rows:
-        texts.setdefault(d, []).append(words(t))
-    out = set()
-    for r in suffix_dedup.repeated_passages(table(spark, rows, "h,doc,src,pos"), length=length, span=span, gram=gram).collect():
-        d, s, n = r["doc_id"], r["start"], r["n_words"]
-        key = lambda x: -(1 << 63) if x is None else x
-        assert (key(r["source_doc_id"]), r["source_start"]) < (key(d), s) and n >= length
-        ours = {tuple(w[s:s + n]) for w in texts[d] if len(w) >= s + n}
-        assert any(tuple(w[r["source_start"]:r["source_start"] + n]) in ours for w in texts[r["source_doc_id"]])
-        out |= {(d, i) for i in range(s, s + n)}
-    return out
+def key(d):
+    return -(1 << 63) if d is None else d
 
 
-def expected_words(rows, length):
-    first, out = {}, set()
-    key = lambda d: -(1 << 63) if d is None else d
+def expected_passages(rows, length):
+    """Rows by definition: window by window, over all texts."""
+    whole = {}
     for d, t, *_ in rows:
+        whole[t or ""] = min(whole.get(t or "", key(d)), key(d))
+    out = {(d, 0, len(words(t)), whole[t or ""], 0) for d, t, *_ in rows if whole[t or ""] < key(d) and len(words(t)) >= length}
+    left = {(key(d), t or "") for d, t, *_ in rows if whole[t or ""] == key(d)}
+    first = {}
+    for d, t in left:
         w = words(t)
         for i in range(len(w) - length + 1):
             k = tuple(w[i:i + length])
-            first[k] = min(first.get(k, (key(d), i)), (key(d), i))
-    for d, t, *_ in rows:
-        w = words(t)
+            first[k] = min(first.get(k, (d, i)), (d, i))
+    for d, t in left:
+        w, before, runs = words(t), {}, {}
         for i in range(len(w) - length + 1):
-            if first[tuple(w[i:i + length])] < (key(d), i):
-                out |= {(d, j) for j in range(i, i + length)}
-    return out
+            k = tuple(w[i:i + length])
+            source = (d, before[k]) if k in before and i - before[k] <= length else first[k]
+            before[k] = i
+            if source < (d, i):
+                runs.setdefault((source[0], i - source[1]), []).append(i)
+        for (src, shift), places in runs.items():
+            begin = None
+            for i, after in zip(places, [*places[1:], None]):
+                begin = i if begin is None else begin
+                if after is None or after - i > length:
+                    out.add((d, begin, i - begin + length, src, begin - shift))
+                    begin = None
+    plain = lambda x: None if x == -(1 << 63) else x
+    return sorted(((plain(r[0]), r[1], r[2], plain(r[3]), r[4]) for r in out), key=str)
+
+
+def found_passages(docs, **how):
+    return sorted(map(tuple, suffix_dedup.repeated_passages(docs, **how).collect()), key=str)
 
 
 def test_passages_against_brute_force(spark):
     rows = passages(2, 70) + [(100, passages(2, 70)[5][1]), (102, "z " * 90), (103, "z y " * 30)]
     for length, span, gram in ((12, 4, 3), (25, 9, 5)):
-        assert covered_words(spark, rows, length, span, gram) == expected_words(rows, length)
+        want = expected_passages(rows, length)
+        assert len(want) > 30 and found_passages(table(spark, rows, "h,doc,src,pos"), length=length, span=span, gram=gram) == want
+
+
+def test_passages_do_not_depend_on_the_layout(spark):
+    r = random.Random(8)
+    one, two = (" ".join(f"{c}{i}" for i in range(70)) for c in "pq")
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(r.randrange(9))) + " " + one * (i % 3 > 0) + " " + (two if i % 2 else "") + f" t{i}") for i in range(40)]
+    rows += [(50, one + " " + two), (51, two + " " + one)]
+    want = expected_passages(rows, 50)
+    for parts in (1, 3, 7, 64):
+        assert found_passages(table(spark, rows).repartition(parts), length=50, span=16, gram=10) == want
 
 
 def test_passages_of_edge_rows(spark):
     rows = edge_rows() + [(20, " ".join(f"w{i}" for i in range(500, 590))), (None, " ".join(f"w{i}" for i in range(510, 575))), (21, "a b " * 60)]
-    assert covered_words(spark, rows, 50, 16, 10) == expected_words(rows, 50)
+    assert found_passages(table(spark, rows), length=50, span=16, gram=10) == expected_passages(rows, 50)
     assert suffix_dedup.repeated_passages(table(spark, rows).limit(0)).count() == 0
 
 
