@@ -5,9 +5,9 @@ occurrences in the document and df counts documents containing the word with
 *any* tag.  N is the number of documents, as a scalar subquery.
 
 Plan notes: tf and the candidate runs are computed on the doc-partitioned
-token table without a shuffle; df is a partial aggregate by word; the tf/df
-join is left to Catalyst, and AQE turns it into a broadcast join only when the
-measured df side is below the broadcast threshold.
+token table without a shuffle; df is a partial aggregate by word.  M0 looks up a
+token's df without dealing the tokens by word: the df table is measured, its
+frequent words go to every task (:mod:`phraseforge.operators.frequent`).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phraseforge.operators.frequent import frequent_join
 from phraseforge.operators.tokens import content_words
 
 # Decimals at which scores are compared when ranking: the width of the exact
@@ -111,7 +112,7 @@ def tfidf_phrases(tokens: DataFrame, n: Column, k: int = 10) -> DataFrame:
     Returns (doc_id, rank, phrase, score)."""
     cw = island_tokens(tokens)
     cw = cw.withColumn("tf", F.count("*").over(Window.partitionBy("doc_id", "word")))
-    cw = cw.join(document_frequency(tokens), "word")
+    cw = frequent_join(cw, document_frequency(tokens), "word", "df")
     score = F.when(F.col("word") == "", F.lit(0.0)).otherwise(F.col("tf") * idf_log2(n, F.col("df")))
     ps = scored_runs(cw.withColumn("s", exact(score)))
     return top_k(ps, k, "phrase").select("doc_id", "rank", "phrase", "score")
