@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
@@ -44,7 +44,9 @@ MIN_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Bits of the filter in front of the second pass; (term, source) entries of a block of terms; cells of an array in it.
 FILTER_BITS, ENTRIES, CELLS = 1 << 24, 100_000, 1 << 20
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
+#: Counted rows that a task holds to add up before it passes them on.
+HELD = 800_000
 
 _COUNTED = ["lang", "source", "chunk", "docs", "n"]
 #: Bytes of a term (all bytes of characters beyond ASCII are above 0x7F), and A-Z lower-cased.
@@ -70,7 +72,8 @@ def _per_document(row: np.ndarray, chunk: np.ndarray, size: int) -> tuple[np.nda
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, chunk, docs, n) of every block."""
+    """(lang, source, chunk, docs, n) of the documents of a task, added up over its blocks."""
+    held: list[pa.RecordBatch] = []
     for rows in A.blocks(batches, "text", BLOCK_BYTES):
         code, langs, sources = _codes(rows)
         row, chunk, distinct = _chunks(rows.column("text"))
@@ -78,8 +81,22 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         both, at, docs = np.unique(code[row] * max(len(distinct), 1) + chunk, return_inverse=True, return_counts=True)
         n = np.bincount(at, weights=times, minlength=len(both)).astype(np.int64)
         of, which = pa.array(both // max(len(distinct), 1)), pa.array(both % max(len(distinct), 1))
-        yield pa.record_batch([langs.take(of), sources.take(of), distinct.take(which).cast(pa.string()), pa.array(docs.astype(np.int64)), pa.array(n)],
-                              _COUNTED)
+        held.append(pa.record_batch([langs.take(of), sources.take(of), distinct.take(which).cast(pa.string()), pa.array(docs.astype(np.int64)), pa.array(n)],
+                                    _COUNTED))
+        if sum(x.num_rows for x in held) > HELD:
+            yield _together(held)
+            held = []
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each chunk and group of some counted rows."""
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+    if not rows:
+        return held[0]
+    chunk, group, docs, n, chunks, langs, sources = _added_up(rows[0])
+    return pa.record_batch([langs.take(pa.array(group)), sources.take(pa.array(group)), chunks.take(pa.array(chunk)), pa.array(docs), pa.array(n)], _COUNTED)
 
 
 def _codes(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -141,8 +158,7 @@ def _chunk_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if cut:
             yield _cut_chunks(rows.slice(0, cut))
-        chunk, group, docs, n, chunks, langs, sources = _added_up(rows.slice(cut))
-        held = pa.record_batch([langs.take(pa.array(group)), sources.take(pa.array(group)), chunks.take(pa.array(chunk)), pa.array(docs), pa.array(n)], _COUNTED)
+        held = _together([rows.slice(cut)])
     if held is not None:
         yield _cut_chunks(held)
 
@@ -215,39 +231,61 @@ def kept_terms(docs: DataFrame, parts: DataFrame, min_docs: int = MIN_DOCS) -> D
     return materialize(sure.union(more).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
 
 
-def _share(count: Column | str) -> Column:
-    """1 + floor(SCALE * (count + 2) / (N + 2 V)), exactly; null where a language keeps no term."""
-    return F.expr(f"1 + ({SCALE}BD * ({count} + 2)) div nullif(total + 2 * kept, 0)")
-
-
-_DISTANCE = "((p - q) * (p - q)) div (p + q)"
-
-
-def _compare(key: tuple[pa.Scalar, ...], entries: pa.Table, groups: pa.Table) -> pa.Table:
-    """(lang, a, b, value) for all sources a < b of a block of terms of one language."""
-    names = groups.column("source").combine_chunks()
-    order = np.argsort(np.array(names.to_pylist(), object))
-    names, none = names.take(pa.array(order)), groups.column("none").to_numpy()[order]
-    number = {s: i for i, s in enumerate(names.to_pylist())}
-    at = np.array([number[s] for s in entries.column("source").to_pylist()], np.int64)
-    term = entries.column("term").combine_chunks().dictionary_encode()
-    which, size = term.indices.to_numpy().astype(np.int64), len(term.dictionary)
-    p = entries.column("p").to_numpy()
-    by_term = np.argsort(which, kind="stable")
-    at, which, p = at[by_term], which[by_term], p[by_term]
-    step, sums = max(1, CELLS // max(len(names), 1)), np.zeros((len(names), len(names)), np.int64)
-    for begin in range(0, size, step):
-        some = slice(*np.searchsorted(which, [begin, begin + step]))
-        cells = np.repeat(none[:, None], min(step, size - begin), axis=1)
-        cells[at[some], which[some] - begin] = p[some]
-        for a in range(len(names) - 1):
-            d, s = cells[a + 1:] - cells[a], cells[a + 1:] + cells[a]
-            d *= d
-            d //= s
-            sums[a, a + 1:] += d.sum(axis=1)
-    a, b = np.triu_indices(len(names), 1)
-    return pa.table({"lang": pa.array([key[0].as_py()] * len(a), pa.string()), "a": names.take(pa.array(a)).cast(pa.string()),
-                     "b": names.take(pa.array(b)).cast(pa.string()), "value": pa.array(sums[a, b])})
+def _shares(count, size):
+    """1 + floor(SCALE * (count + 2) / size), exactly: beyond 64 bits in Python's whole numbers."""
+    if np.max(count, initial=0) >= (1 << 62) // SCALE:
+        return np.array([1 + SCALE * (int(c) + 2) // int(s) for c, s in np.broadcast(count, size)], np.int64)
+    return 1 + SCALE * (count + 2) // size
+
+
+def _compare(min_rank: int):
+    names = ["lang", "part", "source", "item", "value"]
+
+    def run(key: tuple[pa.Scalar, ...], entries: pa.Table, groups: pa.Table) -> pa.Table:
+        """A block of terms of one language: the sum of distances of all sources a < b
+        (part ``pair``), and each source's most over-used terms (part ``term``)."""
+        sources = groups.column("source").to_pylist()
+        order = np.array(sorted(range(len(sources)), key=sources.__getitem__), np.int64)
+        sources = groups.column("source").combine_chunks().take(pa.array(order))
+        total, kept = (groups.column(c).to_numpy()[order] for c in ("total", "kept"))
+        size = total + 2 * kept
+        number = {s: i for i, s in enumerate(sources.to_pylist())}
+        own = entries.column("source").combine_chunks().dictionary_encode()
+        at = np.array([number[s] for s in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]
+        term = entries.column("term").combine_chunks().dictionary_encode()
+        which, n = term.indices.to_numpy().astype(np.int64), entries.column("n").to_numpy()
+        by_term = np.lexsort((at, which))
+        at, which, n = at[by_term], which[by_term], n[by_term]
+        p, none = _shares(n, size[at]), _shares(np.zeros(len(size), np.int64), size)
+        step, sums = max(1, CELLS // max(len(sources), 1)), np.zeros((len(sources), len(sources)), np.int64)
+        for begin in range(0, len(term.dictionary), step):
+            some = slice(*np.searchsorted(which, [begin, begin + step]))
+            cells = np.repeat(none[:, None], min(step, len(term.dictionary) - begin), axis=1)
+            cells[at[some], which[some] - begin] = p[some]
+            for a in range(len(sources) - 1):
+                d, s = cells[a + 1:] - cells[a], cells[a + 1:] + cells[a]
+                d *= d
+                d //= s
+                sums[a, a + 1:] += d.sum(axis=1)
+        a, b = np.triu_indices(len(sources), 1)
+        whole = np.zeros(len(term.dictionary), np.int64)
+        np.add.at(whole, which, n)
+        q = _shares(whole, groups.column("whole").to_numpy()[0] + 2 * kept[0])[which]
+        over = p > q
+        at, which, f = at[over], which[over], (p[over] - q[over]) ** 2 // (p[over] + q[over])
+        place = np.empty(len(term.dictionary), np.int64)  # of each term among the others, by its code points
+        place[sorted(range(len(place)), key=term.dictionary.to_pylist().__getitem__)] = np.arange(len(place))
+        best = np.lexsort((place[which], -f, at))
+        rank = np.arange(len(best)) - np.searchsorted(at[best], at[best])
+        best = best[rank < min_rank]  # no other term of the block can be among the first
+        count = len(a) + len(best)
+        return pa.table([pa.array([key[0].as_py()], pa.string()).take(pa.array(np.zeros(count, np.int64))),
+                         pa.array(["pair", "term"]).take(pa.array((np.arange(count) >= len(a)).astype(np.int64))),
+                         sources.take(pa.array(np.concatenate([a, at[best]]))),
+                         pa.concat_arrays([sources.take(pa.array(b)), term.dictionary.take(pa.array(which[best]))]),
+                         pa.array(np.concatenate([sums[a, b], f[best]]))], names)
+
+    return run
 
 
 def _ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
@@ -265,29 +303,23 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"))
     groups = (docs.select("lang", "source").distinct().join(total, ["lang", "source"], "left").join(size, "lang", "left")
               .select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "entries", "kept")]))
-    groups = materialize(groups.withColumn("none", _share("0")))
+    groups = materialize(groups.withColumn("whole", F.sum("total").over(Window.partitionBy("lang"))))
 
     # blocks of a language's terms, each compared as one array
     langs = groups.groupBy("lang").agg(F.ceil(F.sum("entries") / ENTRIES).cast("int").alias("blocks"))
-    entries = counts.join(groups.select("lang", "source", "total", "kept"), ["lang", "source"]).join(langs, "lang")
-    entries = entries.select("lang", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "term", "source", _share("n").alias("p"))
+    entries = counts.join(langs, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "term", "source", "n")
     beside = (groups.join(langs.filter("blocks > 0"), "lang")
-              .select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "none")
-              .toDF("lang", "block", "source", "none"))  # columns of its own: entries come from the same groups
-    sums = (entries.groupBy("lang", "block").cogroup(beside.groupBy("lang", "block"))
-            .applyInArrow(_compare, "lang string, a string, b string, value long")
-            .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
-    sides = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
+              .select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "total", "kept", "whole")
+              .toDF("lang", "block", "source", "total", "kept", "whole"))  # columns of its own: both sides come from the same groups
+    compared = materialize(entries.groupBy("lang", "block").cogroup(beside.groupBy("lang", "block"))
+                           .applyInArrow(_compare(top), "lang string, part string, source string, item string, value long"))
+    sums = compared.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    sides = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     pairs = sums.select("lang", "value", sides.alias("s")).select("lang", "s.source", "s.item", "value")
     # a language that keeps no term: all its pairs are at 0
     bare = groups.filter("kept = 0").select("lang", "source")
     bare = bare.join(bare.withColumnRenamed("source", "item"), "lang").filter("source != item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
-
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept"))
-    whole = whole.join(of_lang, "lang").select("lang", "term", _share("n").alias("q"))
-    own = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", _share("n").alias("p"))
-    terms = own.join(whole, ["lang", "term"]).filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_DISTANCE).alias("value"))
+    terms = compared.filter("part = 'term'").select("lang", "source", "item", "value")
     out = [_ranked(rows, n).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
            for part, rows, n in (("pair", pairs.union(bare), None), ("term", terms, top))]
     return out[0].union(out[1])
