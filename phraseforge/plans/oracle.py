@@ -93,6 +93,8 @@ SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(list_filter(line
     q.update(format_oracles(q))
     q.update(topic_oracles(top_n=top_k))
     q.update(stemmed_oracles(q))
+    q["record_numbers"] = ("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, coalesce(source, '') AS title, text AS abstract "
+                           "FROM documents WHERE lang = 'en' AND text IS NOT NULL")
     q["nonredundant_phrases"] = q["redundancy_filter"]
     return q
 

@@ -472,6 +472,14 @@ def q_json_records(spark, sf_dir):
     return r.select("title", "abstract", F.size("controlled").alias("n_controlled"))
 
 
+def q_record_numbers(spark, sf_dir):
+    """The kept JSON records numbered 0, 1, ... in the order of their documents."""
+    docs = _docs(spark, sf_dir)
+    line = F.to_json(F.struct(F.col("source").alias("title"), F.when(F.col("lang") == "en", F.col("text")).alias("abstract")))
+    r = RD.json_records(docs.select("doc_id", line.alias("line")), by=["doc_id"])
+    return r.select("id", "title", "abstract")
+
+
 def q_stopword_records(spark, sf_dir):
     """Every line of every text read as a stopword line."""
     return RD.stopword_records(_docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line")))
@@ -615,6 +623,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "textbook_records": q_textbook_records,
         "tsv_records": q_tsv_records,
         "json_records": q_json_records,
+        "record_numbers": q_record_numbers,
         "stopword_records": q_stopword_records,
         "title_abstract": q_title_abstract,
         "phrase_sink": q_phrase_sink,

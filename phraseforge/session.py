@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -84,3 +85,10 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nobody holds any more: it does so
+    when the driver's JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

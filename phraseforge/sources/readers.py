@@ -14,6 +14,7 @@ from phraseforge.functions.text import py_strip
 from phraseforge.operators.dictionary import dictionary_phrases
 from phraseforge.operators.evaluate import gold_from_lines, parse_stemmed_gold
 from phraseforge.operators.tokens import parse_tagged
+from phraseforge.sources.numbering import number_lines, number_rows
 
 
 def _file_id(suffix: str = "") -> F.Column:
@@ -30,11 +31,11 @@ def tagged_corpus(spark: SparkSession, path: str, suffix: str = "") -> DataFrame
 
 
 def document_list(spark: SparkSession, path: str) -> DataFrame:
-    """One document name per line -> (ordinal, name).  The reference's N
-    (IDF numerator) is the number of lines, blank ones included:
-    ``document_list(...).count()`` or ``.select(F.count('*')).scalar()``."""
-    lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("name"))
+    """One document name per line -> (ordinal, name), ordinals 0, 1, ... in file
+    order.  The reference's N (IDF numerator) is the number of lines, blank ones
+    included: ``document_list(...).count()`` or ``.select(F.count('*')).scalar()``.
+    Lists pair by position with ``numbering.pair_by_position`` (S3)."""
+    return number_lines(spark, path).select("ordinal", F.col("value").alias("name"))
 
 
 def gold_keys(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -118,19 +119,27 @@ def tsv_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def abstracts_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; records that *have* an ``abstract`` key are kept; id is
-    unique per kept record (the reference counts 0, 1, ...; here
-    ``monotonically_increasing_id``); keyword lists are ['']."""
-    return json_records(spark.read.text(path), "value")
+    """JSON lines; records that *have* an ``abstract`` key are kept; ids count the
+    kept records 0, 1, ... in file order; keyword lists are ['']."""
+    kept = number_lines(spark, path, F.from_json("value", _JSON)["abstract"].isNotNull(), "id")
+    return _json_columns(kept, "value")
 
 
-def json_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """S8 / F10 on JSON lines in a column: records without an ``abstract`` go."""
-    df = lines.select(F.from_json(F.col(line_col), "title string, abstract string").alias("r")).select("r.*")
-    kept = df.where(F.col("abstract").isNotNull())
+_JSON = "title string, abstract string"
+
+
+def _json_columns(lines: DataFrame, line_col: str) -> DataFrame:
+    df = lines.select("id", F.from_json(F.col(line_col), _JSON).alias("r")).select("id", "r.*")
     empty = F.array(F.lit(""))
-    return kept.select(F.monotonically_increasing_id().alias("id"), F.coalesce("title", F.lit("")).alias("title"),
-                       "abstract", empty.alias("controlled"), empty.alias("uncontrolled"))
+    return df.select("id", F.coalesce("title", F.lit("")).alias("title"), "abstract", empty.alias("controlled"), empty.alias("uncontrolled"))
+
+
+def json_records(lines: DataFrame, line_col: str = "line", by: list[str] | None = None) -> DataFrame:
+    """S8 / F10 on JSON lines in a column: records without an ``abstract`` go.  Ids are
+    unique; with ``by`` they count the kept records 0, 1, ... in that order."""
+    kept = lines.where(F.from_json(F.col(line_col), _JSON)["abstract"].isNotNull())
+    numbered = number_rows(kept, by, "id") if by else kept.withColumn("id", F.monotonically_increasing_id())
+    return _json_columns(numbered, line_col)
 
 
 def stopwords(spark: SparkSession, path: str) -> DataFrame:

@@ -46,11 +46,11 @@ def plain(rows, phi, rounds):
 @pytest.mark.parametrize("entries", [30, 100_000])
 def test_equals_plain_loops(spark, entries):
     rows = corpus()
-    start = {r["term"]: r["c"] for r in TT._first_model(TT.pack(bow(spark, rows)), K, 7).collect()}
+    start = {r["term"]: np.frombuffer(r["c"]).tolist() for r in TT._first_model(TT.pack(bow(spark, rows)), K, 7).collect()}
     topics = TT.fit(bow(spark, rows), K, tolerance=-1, max_rounds=6, entries=entries)
     values, c = plain(rows, start, 6)
     assert topics.likelihoods == pytest.approx(values, rel=1e-9)
-    got = {r["term"]: r["c"] for r in topics.terms.collect()}
+    got = {r["term"]: np.frombuffer(r["c"]).tolist() for r in topics.terms.collect()}
     assert got.keys() == c.keys() and all(got[t] == pytest.approx(c[t], abs=1e-8) for t in c)
     assert np.array([r["p"] for r in topics.weights().collect()]).sum(axis=0) == pytest.approx([1.0] * K)
 
