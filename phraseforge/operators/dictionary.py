@@ -1,15 +1,15 @@
 """Dictionary phrases, phrase positions and redundancy.
 
-Contiguous-match search (X16) is an equi-join on an *anchor*: the first
-``min(len(pattern), 3)`` tokens of each pattern against the n-gram that starts
-at every text position, followed by an exact slice comparison.  That finds
+Contiguous-match search (X16) is an equi-join on an *anchor*: an n-gram of
+``min(len(pattern), 3)`` tokens, the rarest of each pattern, against the n-grams
+of every text, followed by a comparison of the whole pattern.  That finds
 every (overlapping) occurrence -- what the reference's Knuth-Morris-Pratt loop
 does per pair -- without pairing every text with every pattern.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseforge.functions.text import delete_punctuation, ngrams, printable_only, py_strip, split_nonempty
@@ -80,30 +80,61 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, stopwords: DataFr
     return grams.join(dictionary.select("phrase"), "phrase", "left_semi").select("doc_id", "n", "pos", "phrase")
 
 
+def _grams(toks: str, size: Column) -> Column:
+    """Structs (at, a, gram) of the n-grams of an array at every place: n is ``size``; null for a shorter array."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(toks) - size), lambda i: F.struct(
+        i.alias("at"), size.alias("a"), F.array_join(F.slice(toks, i + 1, size), " ").alias("gram")))
+    return F.when(F.size(toks) >= size, grams)
+
+
+def _anchors(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pid, a, gram, offset): each pattern's rarest n-gram in the texts, by measured
+    counts; the first of equally rare ones."""
+    grams = patterns.select("pid", F.explode(_grams("ptoks", F.least(F.size("ptoks"), F.lit(ANCHOR)))).alias("g")).select("pid", "g.*")
+    wanted = grams.select("a", "gram").distinct()
+    found = texts.select(F.explode(_all_grams("toks")).alias("g")).select("g.a", "g.gram").join(wanted, ["a", "gram"], "left_semi")
+    # a gram that no text holds is the best anchor of all
+    counts = found.groupBy("a", "gram").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.col("at"), F.col("a"), F.col("gram")))
+    return (grams.join(counts, ["a", "gram"], "left").groupBy("pid").agg(best.alias("b"))
+            .select("pid", "b.a", "b.gram", F.col("b.at").alias("offset")))
+
+
+def _all_grams(toks: str) -> Column:
+    """The structs of all n-grams an anchor may be."""
+    return F.flatten(F.array(*[F.coalesce(_grams(toks, F.lit(a)), F.array()) for a in range(1, ANCHOR + 1)]))
+
+
 def contiguous_matches(texts: DataFrame, patterns: DataFrame, key: str | None = None) -> DataFrame:
     """All (overlapping) 0-based positions where a pattern's token list
     occurs contiguously in a text's token list.
 
-    ``texts`` is (tid, toks[, key]); ``patterns`` is (pid, ptoks[, key]); with
-    ``key`` only pairs with the same key are searched.  Empty patterns match
-    nowhere.  A text's candidates are gathered first, so its token list is
-    joined once and compared in the row.  Returns (tid, pid, pos[, key])."""
+    ``texts`` is (tid, toks[, key]); ``patterns`` is (pid, ptoks[, key]), one row
+    per pattern; with ``key`` only pairs with the same key are searched.  Empty
+    patterns match nowhere.  A pattern is looked up by one anchor: its rarest
+    n-gram in the texts, at its offset (with ``key``: its first n-gram, as a
+    key's texts bound the candidates).  A text's candidates are gathered as
+    numbers only -- place, length and a hash of the pattern -- compared in the
+    row, and what is left is compared with the pattern itself.
+    Returns (tid, pid, pos[, key])."""
     kc = [key] if key else []
-    p = patterns.where(F.size("ptoks") > 0).withColumn("a", F.least(F.size("ptoks"), F.lit(ANCHOR)))
-    p = p.withColumn("anchor", F.array_join(F.slice("ptoks", 1, F.col("a")), " "))
-    t = texts.select("tid", "toks", *kc)
-    # the n-gram of every anchor length starting at every text position
-    starts = F.sequence(F.lit(0), F.size("toks") - 1)
-    grams = F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(ANCHOR), F.size("toks") - i)),
-        lambda a: F.struct(i.alias("pos"), a.alias("a"), F.array_join(F.slice("toks", i + 1, a), " ").alias("anchor"))))
-    out = t.where(F.size("toks") > 0).select("tid", *kc, F.explode(F.flatten(grams)).alias("g")).select("tid", *kc, "g.*")
-    cand = out.join(p.select("pid", "ptoks", "anchor", "a", *kc), ["anchor", "a", *kc])
+    p = patterns.where(F.size("ptoks") > 0)
+    if key:
+        first = F.least(F.size("ptoks"), F.lit(ANCHOR))
+        p = p.select("pid", *kc, "ptoks", first.alias("a"), F.array_join(F.slice("ptoks", 1, first), " ").alias("gram"), F.lit(0).alias("offset"))
+    else:
+        p = materialize(p).join(_anchors(texts, p), "pid")
+    t = texts.select("tid", "toks", *kc).where(F.size("toks") > 0)
+    out = t.select("tid", *kc, F.explode(_all_grams("toks")).alias("g")).select("tid", *kc, "g.*")
+    anchors = p.select("pid", "a", "gram", "offset", *kc, F.size("ptoks").alias("size"), F.xxhash64("ptoks").alias("h"))
+    cand = out.join(anchors, ["a", "gram", *kc]).select("tid", "pid", *kc, (F.col("at") - F.col("offset")).alias("pos"), "size", "h").where("pos >= 0")
     # a pattern no longer than its anchor has matched already
-    sure = cand.where(F.size("ptoks") <= ANCHOR).select("tid", "pid", "pos", *kc)
-    open_ = cand.where(F.size("ptoks") > ANCHOR).groupBy("tid", *kc).agg(F.collect_list(F.struct("pid", "pos", "ptoks")).alias("c"))
-    hit = F.filter("c", lambda x: F.slice("toks", x["pos"] + 1, F.size(x["ptoks"])) == x["ptoks"])
-    checked = open_.join(t, ["tid", *kc]).select("tid", *kc, F.explode(hit).alias("c")).select("tid", "c.pid", "c.pos", *kc)
+    sure = cand.where(F.col("size") <= ANCHOR).select("tid", "pid", "pos", *kc)
+    open_ = cand.where(F.col("size") > ANCHOR).groupBy("tid", *kc).agg(F.collect_list(F.struct("pid", "pos", "size", "h")).alias("c"))
+    hit = F.filter("c", lambda x: F.xxhash64(F.slice("toks", x["pos"] + 1, x["size"])) == x["h"])
+    hits = open_.join(t, ["tid", *kc]).select("tid", *kc, "toks", F.explode(hit).alias("c"))
+    hits = hits.select("tid", *kc, "c.pid", "c.pos", F.expr("slice(toks, c.pos + 1, c.size)").alias("found"))
+    checked = hits.join(p.select("pid", "ptoks", *kc), ["pid", *kc]).where(F.col("found") == F.col("ptoks")).select("tid", "pid", "pos", *kc)
     return sure.unionByName(checked)
 
 
