@@ -209,5 +209,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             yield pa.record_batch([rows.column(0), rows.column(2), pa.array(n), pa.array(n > limit)],
                                   ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -50,6 +50,11 @@ def test_token_counts_of_edge_rows(spark, bpe_path):
     assert token_counts.count_tokens(table(spark, rows).limit(0), bpe_path).count() == 0
 
 
+def test_token_counts_keep_ids_of_any_type(spark, bpe_path):
+    docs = spark.createDataFrame([("D-3", "one two"), (None, None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, bpe_path).collect()} == {"D-3": 2, None: 0}
+
+
 def test_piece_ids_equal_the_library(piece_path):
     import sentencepiece
 
