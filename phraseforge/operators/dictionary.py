@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phraseforge.functions.text import delete_punctuation, ngrams, printable_only, py_strip, split_nonempty
+from phraseforge.functions.text import delete_punctuation, printable_only, py_strip, split_nonempty
 from phraseforge.session import materialize
 
 ANCHOR = 3  # tokens of a pattern used as its join key

@@ -35,14 +35,15 @@ def frequent_rows(table: DataFrame, key: str, frequency: str, max_bytes: int = B
 
 
 def frequent_join(rows: DataFrame, table: DataFrame, key: str, frequency: str, how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows.join(table, key, how)`` for ``inner`` and ``left_semi``; ``table`` has one
+    """``rows.join(table, key, how)`` for ``inner``, ``left`` and ``left_semi``; ``table`` has one
     row per key, ``frequency`` is one of its columns and says how many rows a key has,
     about."""
-    if how not in ("inner", "left_semi"):
-        raise ValueError("inner or left_semi")
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError("inner, left or left_semi")
     frequent, others = frequent_rows(materialize(table), key, frequency, max_bytes)
     if others is None:
         return rows.join(F.broadcast(frequent), key, how)
     rows = materialize(rows)  # read twice below
     rest = rows.join(F.broadcast(frequent.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(frequent), key, how).unionByName(rest.join(others, key, how))
+    first = rows.join(F.broadcast(frequent), key, "inner" if how == "left" else how)
+    return first.unionByName(rest.join(others, key, how))

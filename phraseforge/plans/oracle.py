@@ -95,6 +95,7 @@ SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(list_filter(line
     q.update(stemmed_oracles(q))
     q["record_numbers"] = ("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, coalesce(source, '') AS title, text AS abstract "
                            "FROM documents WHERE lang = 'en' AND text IS NOT NULL")
+    q["split_sentences"] = sentences_sql()
     q["nonredundant_phrases"] = q["redundancy_filter"]
     return q
 
@@ -223,6 +224,24 @@ def graph_oracles(window: int = 2, ratio: float = 1.0 / 3.0, k: int = 5, top_k:
     return q
 
 
+def sentences_sql(docs: str = "documents") -> str:
+    """X10 by rule: words, abbreviations, ends of sentences."""
+    shape = "[A-Za-z]+([.][A-Za-z]+)*"
+    return f"""WITH
+sw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS ws FROM {docs}),
+st AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM sw),
+sb AS (SELECT lower(regexp_replace(word, '[.,;:!?]+$', '')) AS name, regexp_matches(word, '^{shape}[.]$') AS period,
+              regexp_replace(word, '[.,;:!?]+$', '') AS bare FROM st),
+sa AS (SELECT name FROM sb WHERE regexp_matches(bare, '^{shape}$') AND length(bare) <= 5 GROUP BY name
+       HAVING count(*) FILTER (period) >= 5 AND count(*) FILTER (period) >= 4 * count(*) FILTER (NOT period)),
+se AS (SELECT doc_id, pos, word, CAST(regexp_matches(word, '[.!?]["'')\\]]*$')
+              AND NOT (regexp_matches(word, '^{shape}[.]$') AND lower(regexp_replace(word, '[.]$', '')) IN (SELECT name FROM sa))
+              AND NOT coalesce(regexp_matches(lead(word) OVER (PARTITION BY doc_id ORDER BY pos), '^[a-z]'), false) AS INTEGER) AS ends FROM st),
+sn AS (SELECT doc_id, pos, word, CAST(coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS nth FROM se)
+SELECT doc_id, nth, string_agg(word, ' ' ORDER BY pos) AS sentence FROM sn GROUP BY doc_id, nth"""
+
+
 # --- n-gram TF-IDF ----------------------------------------------------------
 
 def ngram_cte(stopwords) -> str:

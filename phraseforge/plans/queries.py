@@ -19,6 +19,7 @@ from phraseforge.operators import dictionary as D
 from phraseforge.operators import evaluate as V
 from phraseforge.operators import graph as G
 from phraseforge.operators import ngrams as N
+from phraseforge.operators import sentences as SE
 from phraseforge.operators import similarity as S
 from phraseforge.operators import tfidf as T
 from phraseforge.operators import tokens as K
@@ -330,6 +331,11 @@ def q_nearest_keywords(spark, sf_dir, n: int = NEAREST_N):
     return nk.select(F.col("doc_id").alias("vec_id"), "rank", F.col("keyword").alias("label"), F.round("dist", R).alias("dist"))
 
 
+def q_split_sentences(spark, sf_dir):
+    """X10 by rule: sentences of every text, abbreviations learned from all of them."""
+    return SE.split_sentences(_docs(spark, sf_dir))
+
+
 def q_stem_vocabulary(spark, sf_dir):
     """The corpus vocabulary (cleaned tokens of the n-gram pipeline) and its stems."""
     toks = N.clean_tokens(_docs(spark, sf_dir)).select(F.explode("toks").alias("token"))
@@ -624,6 +630,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tsv_records": q_tsv_records,
         "json_records": q_json_records,
         "record_numbers": q_record_numbers,
+        "split_sentences": q_split_sentences,
         "stopword_records": q_stopword_records,
         "title_abstract": q_title_abstract,
         "phrase_sink": q_phrase_sink,

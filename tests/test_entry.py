@@ -40,7 +40,7 @@ def test_every_key_has_oracle_or_is_declared(spark):
                                   "expandrank_phrases", "ngram_tfidf_boosted", "eval_micro", "redundancy_filter",
                                   "ids_similar_documents", "ids_singlerank_phrases", "gold_alternatives", "small_scores", "odd_separators",
                                   "benchmark_records", "in_chunk", "nearest_keywords", "stem_vocabulary", "surface_forms_stemmed",
-                                  "corpus_frequency_stemmed", "ngram_tfidf_stemmed", "dictionary_matches_stemmed", "eval_macro_stemmed", "record_numbers", "phrase_positions", "nonredundant_phrases"])
+                                  "corpus_frequency_stemmed", "ngram_tfidf_stemmed", "dictionary_matches_stemmed", "eval_macro_stemmed", "record_numbers", "phrase_positions", "nonredundant_phrases", "split_sentences"])
 def test_flagship_matches_oracle(spark, name):
     sdf = E.queries()[name](spark, SF)
     con = duckdb.connect()
