@@ -14,6 +14,7 @@ from phraseforge.functions.text import py_strip
 from phraseforge.operators.dictionary import dictionary_phrases
 from phraseforge.operators.evaluate import gold_from_lines, parse_stemmed_gold
 from phraseforge.operators.tokens import parse_tagged
+from phraseforge.sources import split_csv
 from phraseforge.sources.numbering import number_lines, number_rows
 
 
@@ -48,7 +49,7 @@ def gold_keys(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 BENCHMARK_SCHEMA = "id string, title string, abstract string, controlled string, uncontrolled string"
 TWO_COLUMN_SCHEMA = "id string, text string"
 TEXTBOOK_SCHEMA = "id string, title string, concepts string, wikipediafiles string, text string"
-CSV_QUOTES = {"quote": '"', "escape": '"'}
+CSV_QUOTES = split_csv.QUOTES
 
 
 def _stripped(c: str) -> F.Column:
@@ -84,25 +85,32 @@ def textbook_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return _textbook_columns(_csv_records(lines, TEXTBOOK_SCHEMA, line_col))
 
 
+def _read_csv(spark: SparkSession, path: str, schema: str, header: bool, multiline: bool) -> DataFrame:
+    if multiline:
+        return split_csv.read(spark, path, schema, header)
+    return spark.read.csv(path, schema=schema, header=header, **CSV_QUOTES)
+
+
 def benchmark_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Comma CSV with a header: id, title, abstract, controlled,
     uncontrolled.  All but id stripped; keyword columns split on ','
     (an empty column gives [''], a list of length 1, as in the reference).
 
-    ``multiline=True`` reads records that span lines, which makes each file one
-    task; ``False`` lets Spark split files whose records are single lines."""
-    return _benchmark_columns(spark.read.csv(path, schema=BENCHMARK_SCHEMA, header=True, multiLine=multiline, **CSV_QUOTES))
+    ``multiline=True`` reads records that span lines, by many tasks a file
+    (:mod:`phraseforge.sources.split_csv`); ``False`` is Spark's reader for files
+    whose records are single lines."""
+    return _benchmark_columns(_read_csv(spark, path, BENCHMARK_SCHEMA, True, multiline))
 
 
 def two_column_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """``id,text`` without a header; text stripped (``multiline`` as in S4)."""
-    return spark.read.csv(path, schema=TWO_COLUMN_SCHEMA, header=False, multiLine=multiline, **CSV_QUOTES).select("id", _stripped("text"))
+    return _read_csv(spark, path, TWO_COLUMN_SCHEMA, False, multiline).select("id", _stripped("text"))
 
 
 def textbook_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """``id,title,concepts,wikipediafiles,text`` without a header; all but id
     stripped (``multiline`` as in S4)."""
-    return _textbook_columns(spark.read.csv(path, schema=TEXTBOOK_SCHEMA, header=False, multiLine=multiline, **CSV_QUOTES))
+    return _textbook_columns(_read_csv(spark, path, TEXTBOOK_SCHEMA, False, multiline))
 
 
 def tsv_lines(spark: SparkSession, path: str) -> DataFrame:
