@@ -76,6 +76,9 @@ SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * 0.5 AS kept
 """
 
 
+#: Without the share of the host's documents.
+OP10_BY_COUNT = OP10.replace(" AND n > docs * 0.1", "")
+
 OP11 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -159,4 +162,4 @@ FROM d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY d.doc_id
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8, "op9_mixing": OP9, "op10_quality_rules": OP10, "op11_divergence": OP11, "op12_pii": OP12}
+    return {"op8_exact_dedup": OP8, "op9_mixing": OP9, "op10_quality_rules": OP10, "quality_rules_by_count": OP10_BY_COUNT, "op11_divergence": OP11, "op12_pii": OP12}

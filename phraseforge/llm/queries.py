@@ -78,6 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def quality_rules_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 with an absolute limit: a line on more than 10 distinct texts of its host goes, however large the host."""
+    return quality_rules.judge(_docs(spark, sf_dir), min_docs=10, share=0)
+
+
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source against every other one of its language, and its ten most over-used terms."""
     return divergence.audit(_docs(spark, sf_dir), min_docs=10, top=10)
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
+        "quality_rules_by_count": quality_rules_by_count,
         "op11_divergence": op11_divergence,
         "op12_pii": op12_pii,
         "op13_spelling": op13_spelling,

@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from tests.llm.fixtures import words
+from tests.llm.fixtures import edge_rows, table, words
 from tests.llm.test_dedup import closed, fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,27 @@ def test_last_stage_encodes_every_row(stages):
 def test_run_is_the_stages_in_order(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted((r["doc_id"], r["ids"]) for r in got.collect()) == sorted((r["doc_id"], r["ids"]) for r in stages[5])
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Every stage on what the one before kept: columns come through, no text appears from nowhere,
+    rows without an id are kept by their texts, and an empty table stays empty."""
+    rows = edge_rows() + [(None, f"row without an id number {i} and some words of its own {i * i}", None, None) for i in range(3)]
+    rows += [(None, rows[-1][1], None, None)]
+    for given in (table(spark, rows, "score,row,key,size,keep_id"), table(spark, rows).limit(0)):
+        docs, texts = given, {r["text"] or "" for r in given.collect()}
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, docs, SF)
+            assert out.columns == given.columns, name
+            out.write.parquet(f"{tmp_path}/{len(texts)}-{n}")
+            docs = spark.read.parquet(f"{tmp_path}/{len(texts)}-{n}")
+            left = [r["text"] or "" for r in docs.collect()]
+            if n < 3:
+                assert set(left) <= texts, name
+            if n in (1, 2):
+                assert len(left) == len(set(left)), name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert last.columns == ["doc_id", "source", "n_tokens", "ids"] and last.count() == docs.count()
+        if texts:
+            near = [r["text"] for r in corpus_pipeline.drop_near_copies(spark, given, SF).collect() if r["doc_id"] is None]
+            assert len(set(near)) >= 3
