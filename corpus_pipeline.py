@@ -2,6 +2,14 @@
 
 All stages but the last return rows with the columns of ``documents``; every
 stage's result is written as Parquet and reread as the next one's input.
+
+Defined results: a null or empty text is scored like any other, is one text for
+the copies' sake, has the fingerprint zero and no words to mix, so it leaves at
+the mixing stage; rows without a doc_id are kept or dropped by their texts; ties
+go to the larger doc_id among equal texts and to the smaller one among near
+copies; repeated rows are copies; texts of any length are processed whole; an
+empty table gives an empty result; extra columns of ``documents`` come through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
