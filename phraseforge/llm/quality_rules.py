@@ -8,7 +8,8 @@ removed, and a document left with too few of its words is rejected.
 
 Defined results: null and empty texts have zero words and fail the base rule;
 a null host is a host of its own; repeated rows are judged alike, each on its
-own row; an empty table gives an empty result.
+own row; a line exactly at the limit stays; texts and lines of any length are
+processed whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@
    step each): less than the text itself.  A probe at a block's own place *is*
    the block, so blocks need no rows of their own.
 2. A hit is extended by comparing the whole ``WINDOW``-word windows around it by
-   96-bit hash, against all other windows around hits.  A window whose words
+   hash (61 bits and 32 of a second one), against all other windows around hits.  A window whose words
    also start earlier (smaller doc_id, or earlier in the same document) is
    repeated; runs of overlapping repeated windows are the maximal repeats, and
    their words go.  Of the windows that repeat inside one block of documents
@@ -20,12 +20,12 @@ A text that stands as a whole under a smaller doc_id too is settled before
 step 1: all its windows start earlier there, so all its words go (if they fill
 a window), and the smaller one stands for both in the search.
 
-Hashes of 32 bits in step 1 can only add candidates; step 2 decides on 96 bits.
+Hashes of 32 bits in step 1 can only add candidates; step 2 decides on 93 bits.
 
 Defined results: null, empty and short texts have nothing removed; a null
 doc_id sorts before all others; rows that share a doc_id count as one document
 (a window at the same place in two of them is not earlier in either), and their
-texts are judged one by one; an empty table gives an empty result; extra columns
+texts are judged one by one; texts of any length are processed whole; an empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -148,7 +148,7 @@ def _candidates(block: int, window: int):
     names = ["a", "b", "doc", "pos", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows around hits, with their 96-bit hashes; ``tag`` is twice the
+        """The windows around hits, with their two hashes; ``tag`` is twice the
         row's key, plus one if the window is settled.
 
         Settled: the same words start earlier in this very block.  Such a
