@@ -70,12 +70,21 @@ def test_stemmed_gold_lines(spark):
     assert got == [("41", 0, 0, "grid"), ("41", 1, 0, "web service"), ("41", 1, 1, "web servic")]
 
 
-def test_similarity_blocked_equals_join(spark):
+def plain_neighbours(entries, k):
+    """(doc, rank, neighbour) pair by pair; documents without a positive partner take the smallest ids."""
+    docs = sorted({r["doc_id"] for r in entries})
+    norm = {d: math.sqrt(sum(r["score"] ** 2 for r in entries if r["doc_id"] == d)) for d in docs}
+    sim = {(a, b): sum(x["score"] * y["score"] for x in entries for y in entries if (x["doc_id"], y["doc_id"]) == (a, b) and x["word"] == y["word"])
+           / (norm[a] * norm[b]) for a in docs for b in docs if a != b}
+    return [(a, i + 1, b) for a in docs for i, b in enumerate(sorted((b for b in docs if b != a), key=lambda b: (-round(sim[a, b], 9), b))[:k])]
+
+
+def test_similarity_equals_a_plain_scan(spark):
     vec = spark.createDataFrame(
         [(d, f"w{(d * j) % 5}", float(1 + (d + j) % 3)) for d in range(1, 9) for j in range(4)] + [(9, "zz", 1.0)],
         "doc_id long, word string, score double")
-    a = rows(S.similar_documents(vec, 3, method="blocked"), "doc_id", "rank", "nbr_id")
-    b = rows(S.similar_documents(vec, 3, method="join"), "doc_id", "rank", "nbr_id")
+    a = rows(S.similar_documents(vec, 3), "doc_id", "rank", "nbr_id")
+    b = plain_neighbours(vec.collect(), 3)
     assert a == b
     # doc 9 shares nothing: sim-0 neighbours are the smallest ids
     assert [r[2] for r in a if r[0] == 9] == [1, 2, 3]
