@@ -8,12 +8,13 @@
    is its first three (and the last of them again, if it also stands at the next
    place); dynamic programming picks the two of the three that do not overlap
    and are rarest together: its pivots.
-3. One edit leaves one of two disjoint bigrams as it is, and moves it by one
-   place at most.  So of two words one edit apart, a pivot of the one whose
-   prefix ends earlier in the order stands in the other's prefix, at a place and
-   word length that fit an insertion, a deletion or a replacement.  Pivots are
-   dealt under the five (place, length) pairs that fit and meet prefixes with an
-   equal bigram, place and length; the pairs are verified by edit distance.
+3. One edit leaves one of two disjoint bigrams as it is, and all that stands on one
+   side of it.  So of two words one edit apart, a pivot of the one whose prefix
+   ends earlier in the order stands in the other's prefix: at the same place from
+   the left, with the same letters before it, or from the right, with the same
+   letters after it.  Pivots are dealt with each of these parts under the three
+   lengths the other word may have, and meet prefix bigrams with an equal part
+   and length; the pairs are verified by edit distance.
 4. A word's form is its most frequent near word, if that is at least twice as
    frequent; forms are followed to the last one by doubling the steps.
 
@@ -36,8 +37,8 @@ from phraseforge.session import materialize
 #: A run of letters.
 RUN = r"[A-Za-zÀ-ÿ]+"
 MIN_LENGTH, MIN_COUNT, MISSPELL = 5, 3, 97
-#: What one edit does to a bigram it leaves alone: (shift of its place, change of the word's length).
-SHIFTS = [(0, 0), (0, 1), (1, 1), (0, -1), (-1, -1)]
+#: What one edit does to a word's length.
+CHANGES = (-1, 0, 1)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,30 +96,32 @@ def prefix_and_pivots(word: str, order: dict[str, tuple[int, int]]) -> tuple[lis
 
 
 def _grams(words: DataFrame, order, pivots: bool) -> DataFrame:
-    """(gram, place, length, word, n, last) of every pivot, under the places and lengths
-    it may have in a near word, or of every prefix bigram."""
+    """(side, part, length, word, n, last) of every prefix bigram: the word up to the end
+    of the bigram (side 0) and from its begin (side 1); of every pivot, the same under
+    the lengths its near words may have."""
     table = words.sparkSession.sparkContext.broadcast(order)
-    names = ["gram", "place", "length", "word", "n", "last"]
+    names = ["side", "part", "length", "word", "n", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out = []
             for word, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 prefix, pivot, last = prefix_and_pivots(word, table.value)
-                moves = SHIFTS if pivots else [(0, 0)]
-                out += [(word[i:i + 2], i + d, len(word) + e, word, n, last) for i in (pivot if pivots else prefix) for d, e in moves]
+                changes = CHANGES if pivots else (0,)
+                for i in pivot if pivots else prefix:
+                    out += [(side, part, len(word) + e, word, n, last) for side, part in ((0, word[:i + 2]), (1, word[i:])) for e in changes]
             columns = list(zip(*out)) or [()] * len(names)
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return words.select("word", "n").mapInArrow(run, "gram string, place int, length int, word string, n long, last long")
+    return words.select("word", "n").mapInArrow(run, "side int, part string, length int, word string, n long, last long")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): every pair of words one edit apart, from both sides (some more than once)."""
     order = bigram_order(words)
     p, x = _grams(words, order, True).alias("p"), _grams(words, order, False).alias("x")
-    met = [F.col(f"p.{c}") == F.col(f"x.{c}") for c in ("gram", "place", "length")]
+    met = [F.col(f"p.{c}") == F.col(f"x.{c}") for c in ("side", "part", "length")]
     pairs = p.join(x, met + [F.col("p.last") <= F.col("x.last"), F.col("p.word") != F.col("x.word"),
                              F.levenshtein("p.word", "x.word", 1) == 1])
     sides = [F.struct(F.col(f"{a}.word").alias("word"), F.col(f"{a}.n").alias("n"), F.col(f"{b}.word").alias("near"), F.col(f"{b}.n").alias("near_n"))
