@@ -9,13 +9,18 @@ does per pair -- without pairing every text with every pattern.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseforge.functions.text import delete_punctuation, printable_only, py_strip, split_nonempty
+from phraseforge.operators.blocks import Lists, dealt, gram_texts, grams, map_blocks, one_batch, rewrite_words
+from phraseforge.operators.frequent import BROADCAST_BYTES
 from phraseforge.session import materialize
 
 ANCHOR = 3  # tokens of a pattern used as its join key
+SHORT = 8  # phrases of more tokens are looked for as text, not in sets of n-grams
 
 
 def dictionary_phrases(lines: DataFrame, stopwords: DataFrame | None = None, stem_map: DataFrame | None = None,
@@ -52,15 +57,26 @@ def _stem_tokens(df: DataFrame, stem_map: DataFrame) -> DataFrame:
 def document_terms(docs: DataFrame, stopwords: DataFrame | None = None, stem_map: DataFrame | None = None,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Document side of M6: lower-case, delete punctuation (X6), split on
-    white space, stem, drop stopwords.  Returns (doc_id, i, term) rows."""
-    toks = split_nonempty(delete_punctuation(F.lower(F.col(text_col))), "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]+")
-    t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("i", "term"))
-    if stem_map is not None:
-        t = t.join(stem_map.select(F.col("token").alias("term"), "stem"), "term", "left").select(
-            "doc_id", "i", F.coalesce("stem", "term").alias("term"))
-    if stopwords is not None:
-        t = t.join(stopwords.select(F.col("word").alias("term")), "term", "left_anti")
-    return t
+    white space, stem, drop stopwords.  Returns (block, doc_id, terms); only the distinct
+    words of each block of documents meet the stems and stopwords."""
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = dealt(d, F.octet_length("text"), "doc_id", "text")
+    toks = split_nonempty(delete_punctuation(F.lower("text")), "[\\t\\n\\x0B\\f\\r \\x1C-\\x1F]+")
+
+    def kept(words: DataFrame) -> DataFrame:
+        if stem_map is None:
+            words = words.withColumn("term", F.col("word"))
+        else:
+            words = words.join(stem_map.select(F.col("token").alias("word"), "stem"), "word", "left").withColumn("term", F.coalesce("stem", "word"))
+        return words if stopwords is None else words.join(stopwords.select(F.col("word").alias("term")), "term", "left_anti")
+
+    return rewrite_words(d.select("block", "doc_id", toks.alias("toks")), kept)
+
+
+def _small(table: DataFrame, *keys: str) -> DataFrame:
+    """``table``, written already, marked to be sent to every task if it is measured to be small."""
+    size = table.agg(F.sum(sum((F.octet_length(k) for k in keys), F.lit(16 + 16 * len(table.columns))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def dictionary_matches(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | None = None,
@@ -68,16 +84,23 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, stopwords: DataFr
     """M6 (J8 + W5): every 1- to 3-gram of a document's kept terms that is a
     dictionary phrase, duplicates kept; ordered by n, then position.
 
-    Returns (doc_id, n, pos, phrase).  The semi-join is planned by Catalyst;
-    AQE broadcasts the dictionary only once its measured size is small."""
-    t = document_terms(docs, stopwords, stem_map)
-    terms = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))),
-                                                lambda x: x["term"]).alias("terms"))
-    size = F.size("terms")
-    grams = F.transform(F.sequence(F.lit(n_min), F.least(F.lit(n_max), size)), lambda n: F.transform(
-        F.sequence(F.lit(0), size - n), lambda i: F.struct(n.alias("n"), i.alias("pos"), F.array_join(F.slice("terms", i + 1, n), " ").alias("phrase"))))
-    grams = terms.where(size >= n_min).select("doc_id", F.explode(F.flatten(grams)).alias("g")).select("doc_id", "g.*")
-    return grams.join(dictionary.select("phrase"), "phrase", "left_semi").select("doc_id", "n", "pos", "phrase")
+    Returns (doc_id, n, pos, phrase).  The n-grams are made where they are looked up: the
+    dictionary goes to every task if it is measured to be small."""
+    import numpy as np
+    import pyarrow as pa
+
+    terms = document_terms(docs, stopwords, stem_map)
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lists, parts = Lists(rows.column(1), rows.column(2)), []
+        for n, at, _ in grams(lists.words, lists.doc, n_min, n_max):
+            parts.append(pa.table({"doc_id": lists.ids.take(pa.array(lists.doc[at])), "n": pa.array(np.full(len(at), n, np.int32)),
+                                   "pos": pa.array(lists.pos[at], pa.int32()), "phrase": gram_texts(lists.words, at, n)}))
+        return one_batch(pa.concat_tables(parts), "doc_id", "n", "pos", "phrase")
+
+    kind = terms.schema["doc_id"].dataType.simpleString()
+    found = map_blocks(terms, run, f"doc_id {kind}, n int, pos int, phrase string", lambda rows: rows)
+    return found.join(_small(materialize(dictionary.select("phrase")), "phrase"), "phrase", "left_semi").select("doc_id", "n", "pos", "phrase")
 
 
 def _grams(toks: str, size: Column) -> Column:
@@ -90,19 +113,25 @@ def _grams(toks: str, size: Column) -> Column:
 def _anchors(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pid, a, gram, offset): each pattern's rarest n-gram in the texts, by measured
     counts; the first of equally rare ones."""
-    grams = patterns.select("pid", F.explode(_grams("ptoks", F.least(F.size("ptoks"), F.lit(ANCHOR)))).alias("g")).select("pid", "g.*")
-    wanted = grams.select("a", "gram").distinct()
-    found = texts.select(F.explode(_all_grams("toks")).alias("g")).select("g.a", "g.gram").join(wanted, ["a", "gram"], "left_semi")
+    own = patterns.select("pid", F.explode(_grams("ptoks", F.least(F.size("ptoks"), F.lit(ANCHOR)))).alias("g")).select("pid", "g.*")
+    wanted = materialize(own.select("a", "gram").distinct())
+    found = texts.select(F.explode(_all_grams("toks", _sizes(wanted))).alias("g")).select("g.a", "g.gram").join(_small(wanted, "gram"), ["a", "gram"], "left_semi")
     # a gram that no text holds is the best anchor of all
     counts = found.groupBy("a", "gram").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.col("at"), F.col("a"), F.col("gram")))
-    return (grams.join(counts, ["a", "gram"], "left").groupBy("pid").agg(best.alias("b"))
+    return (own.join(counts, ["a", "gram"], "left").groupBy("pid").agg(best.alias("b"))
             .select("pid", "b.a", "b.gram", F.col("b.at").alias("offset")))
 
 
-def _all_grams(toks: str) -> Column:
+def _sizes(anchors: DataFrame) -> list[int]:
+    """The sizes that occur among the anchors, from 1 to ANCHOR."""
+    return sorted(r["a"] for r in anchors.select("a").distinct().collect())
+
+
+def _all_grams(toks: str, sizes: list[int]) -> Column:
     """The structs of all n-grams an anchor may be."""
-    return F.flatten(F.array(*[F.coalesce(_grams(toks, F.lit(a)), F.array()) for a in range(1, ANCHOR + 1)]))
+    none = F.array().cast("array<struct<at:int,a:int,gram:string>>")
+    return F.flatten(F.array(*[F.coalesce(_grams(toks, F.lit(a)), none) for a in sizes or [1]]))
 
 
 def contiguous_matches(texts: DataFrame, patterns: DataFrame, key: str | None = None) -> DataFrame:
@@ -125,47 +154,83 @@ def contiguous_matches(texts: DataFrame, patterns: DataFrame, key: str | None =
     else:
         p = materialize(p).join(_anchors(texts, p), "pid")
     t = texts.select("tid", "toks", *kc).where(F.size("toks") > 0)
-    out = t.select("tid", *kc, F.explode(_all_grams("toks")).alias("g")).select("tid", *kc, "g.*")
-    anchors = p.select("pid", "a", "gram", "offset", *kc, F.size("ptoks").alias("size"), F.xxhash64("ptoks").alias("h"))
-    cand = out.join(anchors, ["a", "gram", *kc]).select("tid", "pid", *kc, (F.col("at") - F.col("offset")).alias("pos"), "size", "h").where("pos >= 0")
+    anchors = materialize(p.select("pid", "a", "gram", "offset", *kc, F.size("ptoks").alias("size"), F.xxhash64("ptoks").alias("h")))
+    out = t.select("tid", *kc, F.explode(_all_grams("toks", _sizes(anchors))).alias("g")).select("tid", *kc, "g.*")
+    # anchors and candidates that are measured to be small go to where the texts are
+    cand = out.join(_small(anchors, "gram"), ["a", "gram", *kc]).select("tid", "pid", *kc, (F.col("at") - F.col("offset")).alias("pos"), "size", "h").where("pos >= 0")
+    cand = materialize(cand)
     # a pattern no longer than its anchor has matched already
     sure = cand.where(F.col("size") <= ANCHOR).select("tid", "pid", "pos", *kc)
     open_ = cand.where(F.col("size") > ANCHOR).groupBy("tid", *kc).agg(F.collect_list(F.struct("pid", "pos", "size", "h")).alias("c"))
     hit = F.filter("c", lambda x: F.xxhash64(F.slice("toks", x["pos"] + 1, x["size"])) == x["h"])
+    if cand.count() * 64 <= BROADCAST_BYTES:
+        open_ = F.broadcast(open_)
     hits = open_.join(t, ["tid", *kc]).select("tid", *kc, "toks", F.explode(hit).alias("c"))
     hits = hits.select("tid", *kc, "c.pid", "c.pos", F.expr("slice(toks, c.pos + 1, c.size)").alias("found"))
     checked = hits.join(p.select("pid", "ptoks", *kc), ["pid", *kc]).where(F.col("found") == F.col("ptoks")).select("tid", "pid", "pos", *kc)
     return sure.unionByName(checked)
 
 
-def _inside(phrases: DataFrame) -> DataFrame:
-    """(doc_id, pid, size): phrases that occur contiguously inside another phrase
-    of their document, with their token count."""
-    p = phrases.select("doc_id", "phrase", F.split("phrase", " ").alias("toks"))
-    # a one-token phrase cannot contain a *different* phrase: leave it out of the texts
-    texts = p.where(F.size("toks") >= 2).select("doc_id", F.col("phrase").alias("tid"), "toks")
-    # one-token phrases need no positions: distinct words of the longer phrases
-    words = texts.select("doc_id", F.explode(F.array_distinct("toks")).alias("phrase")).distinct()
-    single = (p.where(F.size("toks") == 1).join(words, ["doc_id", "phrase"], "left_semi")
-              .select("doc_id", F.col("phrase").alias("pid"), F.lit(1).alias("size")))
-    pats = p.where(F.size("toks") >= 2).select("doc_id", F.col("phrase").alias("pid"), F.col("toks").alias("ptoks"))
-    m = contiguous_matches(texts, pats, key="doc_id").where(F.col("tid") != F.col("pid"))
-    return m.select("doc_id", "pid", F.lit(2).alias("size")).distinct().unionByName(single)
+def _contained(phrases: list[str]) -> list[bool]:
+    """Which of one document's distinct phrases occur contiguously inside another one, token-wise."""
+    toks = [p.split(" ") for p in phrases]
+    size = [len(t) for t in toks]
+    grams = {n: set() for n in set(size) if n <= SHORT}
+    for t in toks:
+        for n, found in grams.items():
+            if n < len(t):
+                found.update(t if n == 1 else map(" ".join, zip(*(t[j:] for j in range(n)))))
+    inside = [n <= SHORT and p in grams[n] for p, n in zip(phrases, size)]
+    # phrases of more tokens are few: each is looked for in the text of those that are longer still
+    order = sorted((i for i, n in enumerate(size) if n > SHORT), key=lambda i: -size[i])
+    text = "\0".join(f" {phrases[i]} " for i in order)
+    end, n = {}, 0
+    for i in order:
+        end.setdefault(size[i], n)
+        n += len(phrases[i]) + 3
+    for i in order:
+        if "\0" in toks[i]:  # the mark between phrases
+            inside[i] = any(size[j] > size[i] and f" {phrases[i]} " in f" {phrases[j]} " for j in order)
+        else:
+            inside[i] = text.find(f" {phrases[i]} ", 0, end[size[i]]) >= 0
+    return inside
+
+
+def _judged(phrases: DataFrame, keep: Callable[[bool, str], bool]) -> DataFrame:
+    """(doc_id, phrase): the phrases that ``keep`` (is it inside another phrase of its document,
+    phrase) says.  ``phrases`` is (doc_id, phrase) or (doc_id, phrases): all of a document stand
+    in one row.  Phrases without a document's id are in none."""
+    if "phrases" not in phrases.columns:
+        phrases = phrases.groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            places, found = [], []
+            for row, (i, names) in enumerate(zip(batch.column(0).is_valid().to_pylist(), batch.column(1))):
+                names = names.as_py()
+                some = [p for p, inside in zip(names, _contained(names) if i else [False] * len(names)) if keep(inside, p)]
+                places += [row] * len(some)
+                found += some
+            yield pa.record_batch([batch.column(0).take(pa.array(places, pa.int64())), pa.array(found, pa.string())], ["doc_id", "phrase"])
+
+    kind = phrases.schema["doc_id"].dataType.simpleString()
+    return phrases.select("doc_id", "phrases").mapInArrow(run, f"doc_id {kind}, phrase string")
 
 
 def redundant_phrases(phrases: DataFrame) -> DataFrame:
     """M9 / J10 (``isAlreadyPresent``): (doc_id, phrase) -> the phrases that occur
     contiguously inside another phrase of the same document (token-wise)."""
-    return _inside(phrases).select("doc_id", F.col("pid").alias("phrase"))
+    return _judged(phrases, lambda inside, p: inside)
 
 
 def in_chunk(phrases: DataFrame) -> DataFrame:
     """J10 (``isInChunk``): as :func:`redundant_phrases`, but a single word counts
     only when a whole phrase equals it, which another phrase never does."""
-    return _inside(phrases).where(F.col("size") > 1).select("doc_id", F.col("pid").alias("phrase"))
+    return _judged(phrases, lambda inside, p: inside and " " in p)
 
 
 def redundancy_filter(phrases: DataFrame) -> DataFrame:
     """M9: keep the phrases not contained in another phrase of their document."""
-    phrases = materialize(phrases.select("doc_id", "phrase").distinct())  # read by four branches
-    return phrases.join(redundant_phrases(phrases), ["doc_id", "phrase"], "left_anti")
+    return _judged(phrases, lambda inside, p: not inside)
