@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseforge.functions.text import delete_punctuation, printable_only, py_strip, split_nonempty
-from phraseforge.operators.blocks import Lists, dealt, gram_texts, grams, map_blocks, one_batch, rewrite_words
+from phraseforge.operators.blocks import Lists, dealt, flat, gram_texts, grams, map_blocks, one_batch, rewrite_words
 from phraseforge.operators.frequent import BROADCAST_BYTES
 from phraseforge.session import materialize
 
 ANCHOR = 3  # tokens of a pattern used as its join key
+PATTERN_BYTES = 8 << 20  # patterns of no more text go to every task
+PLACES = 1 << 20  # places that are compared at once
 SHORT = 8  # phrases of more tokens are looked for as text, not in sets of n-grams
 
 
@@ -134,6 +136,69 @@ def _all_grams(toks: str, sizes: list[int]) -> Column:
     return F.flatten(F.array(*[F.coalesce(_grams(toks, F.lit(a)), none) for a in sizes or [1]]))
 
 
+def _matches_in_blocks(texts: DataFrame, patterns: DataFrame, key: str | None) -> DataFrame:
+    """:func:`contiguous_matches` for few patterns: every block of texts looks up each
+    pattern by its rarest token there and compares the others, so that no text and no candidate
+    leaves its task.  A long pattern's match counts once for every pair of rows of its
+    text's and pattern's ids that hold it, as in the join of candidates and texts."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = patterns.select("pid", "ptoks", *([key] if key else [])).toArrow().combine_chunks()
+    pids, (ptoks, sizes) = table.column("pid").combine_chunks(), flat(one_batch(table, "ptoks").column(0))
+    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    pkeys = table.column(key).combine_chunks() if key else None
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        words, lengths = flat(rows.column(2))
+        doc, begin = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        pcode = pc.fill_null(pc.index_in(ptoks, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+        by_code, counts = np.argsort(code, kind="stable"), np.bincount(code, minlength=len(coded.dictionary))
+        # each pattern's rarest token, the first of equally rare ones; none has a token that is not there
+        n = np.where(pcode < 0, 0, counts[pcode])
+        rarest = np.lexsort((np.arange(len(n)), n, of))[starts]
+        some = np.flatnonzero(n[rarest])
+        first, share = (np.cumsum(counts) - counts)[pcode[rarest[some]]], np.cumsum(n[rarest[some]]) // PLACES
+        found = []
+        for s in np.unique(share):
+            these, at = some[share == s], first[share == s]
+            c = n[rarest[these]]
+            pattern = np.repeat(these, c)
+            place = by_code[np.repeat(at - np.cumsum(c) + c, c) + np.arange(len(pattern))] - np.repeat(rarest[these] - starts[these], c)
+            fits = (place >= 0) & (place + sizes[pattern] <= len(code))
+            pattern, place = pattern[fits], place[fits]
+            fits = doc[place] == doc[place + sizes[pattern] - 1]
+            if key:
+                tkey = rows.column(1).dictionary_encode()
+                pkey = pc.fill_null(pc.index_in(pkeys, value_set=tkey.dictionary, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+                fits &= pc.fill_null(tkey.indices, -2).to_numpy(zero_copy_only=False)[doc[place]] == pkey[pattern]
+            pattern, place = pattern[fits], place[fits]
+            j = 0
+            while len(pattern):
+                whole = sizes[pattern] == j
+                found.append((pattern[whole], place[whole]))
+                pattern, place = pattern[~whole], place[~whole]
+                same = code[place + j] == pcode[starts[pattern] + j]
+                pattern, place, j = pattern[same], place[same], j + 1
+        pattern, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out = [rows.column(0).take(pa.array(doc[place])), pids.take(pa.array(pattern)), pa.array((place - begin[doc[place]]).astype(np.int32)),
+               pa.array(sizes[pattern].astype(np.int32)), rows.column(1).take(pa.array(doc[place]))]
+        return pa.record_batch(out, ["tid", "pid", "pos", "size", "key"])
+
+    t = texts.where(F.size("toks") > 0).select("tid", (F.col(key) if key else F.lit(None).cast("int")).alias("key"), "toks")
+    tid, pid, kind = (x.schema[c].dataType.simpleString() for x, c in ((t, "tid"), (patterns, "pid"), (t, "key")))
+    found = map_blocks(t, run, f"tid {tid}, pid {pid}, pos int, size int, key {kind}", lambda rows: rows)
+    long = F.col("size") > ANCHOR
+    found = found.where(~long | F.col("tid").isNotNull() & F.col("pid").isNotNull()).groupBy("tid", "pid", "pos", "size", "key").agg(F.count(F.lit(1)).alias("c"))
+    times = F.when(long, F.col("c") * F.col("c")).otherwise(F.col("c")).cast("int")
+    found = found.select("tid", "pid", "pos", "key", F.explode(F.array_repeat(F.lit(0), times)))
+    return found.select("tid", "pid", "pos", *([F.col("key").alias(key)] if key else []))
+
+
 def contiguous_matches(texts: DataFrame, patterns: DataFrame, key: str | None = None) -> DataFrame:
     """All (overlapping) 0-based positions where a pattern's token list
     occurs contiguously in a text's token list.
@@ -144,15 +209,19 @@ def contiguous_matches(texts: DataFrame, patterns: DataFrame, key: str | None =
     n-gram in the texts, at its offset (with ``key``: its first n-gram, as a
     key's texts bound the candidates).  A text's candidates are gathered as
     numbers only -- place, length and a hash of the pattern -- compared in the
-    row, and what is left is compared with the pattern itself.
+    row, and what is left is compared with the pattern itself.  Patterns that are
+    measured to be small go to the texts instead (:func:`_matches_in_blocks`).
     Returns (tid, pid, pos[, key])."""
     kc = [key] if key else []
     p = patterns.where(F.size("ptoks") > 0)
+    p = materialize(p if key else p.where("pid IS NOT NULL"))
+    if (p.agg(F.sum(F.octet_length(F.array_join("ptoks", " ")) + 16)).first()[0] or 0) <= PATTERN_BYTES:
+        return _matches_in_blocks(texts, p, key)
     if key:
         first = F.least(F.size("ptoks"), F.lit(ANCHOR))
         p = p.select("pid", *kc, "ptoks", first.alias("a"), F.array_join(F.slice("ptoks", 1, first), " ").alias("gram"), F.lit(0).alias("offset"))
     else:
-        p = materialize(p).join(_anchors(texts, p), "pid")
+        p = p.join(_anchors(texts, p), "pid")
     t = texts.select("tid", "toks", *kc).where(F.size("toks") > 0)
     anchors = materialize(p.select("pid", "a", "gram", "offset", *kc, F.size("ptoks").alias("size"), F.xxhash64("ptoks").alias("h")))
     out = t.select("tid", *kc, F.explode(_all_grams("toks", _sizes(anchors))).alias("g")).select("tid", *kc, "g.*")

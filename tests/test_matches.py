@@ -34,3 +34,20 @@ def test_the_rarest_gram_is_the_anchor(spark):
     p = spark.createDataFrame([(7, "the the the x y z".split()), (8, "the the".split())], "pid long, ptoks array<string>")
     got = {r["pid"]: (r["offset"], r["gram"]) for r in D._anchors(t, p).collect()}
     assert got == {7: (3, "x y z"), 8: (0, "the the")}
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+def test_many_patterns_equal_a_plain_scan(spark, key, monkeypatch):
+    monkeypatch.setattr(D, "PATTERN_BYTES", -1)
+    test_equals_a_plain_scan(spark, key)
+
+
+def test_few_patterns_are_compared_where_the_texts_are(spark, monkeypatch):
+    """No text and no candidate is shuffled: only what is found."""
+    monkeypatch.setattr(D, "PLACES", 50)
+    texts, patterns = cases(3)
+    t = spark.createDataFrame([x[:2] for x in texts], "tid long, toks array<string>")
+    got = D.contiguous_matches(t, spark.createDataFrame([x[:2] for x in patterns], "pid long, ptoks array<string>"))
+    assert sorted((r["tid"], r["pid"], r["pos"]) for r in got.collect()) == plain(texts, patterns)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate explode(flatten" not in plan
