@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from phraseforge.llm import arrays as A
 from phraseforge.llm.common import WORD, row_key, text_or_empty
+from phraseforge.operators.frequent import BROADCAST_BYTES
+from phraseforge.session import materialize
 
 #: A line is removed when more than MIN_DOCS and more than SHARE of its host's documents carry it.
 MIN_DOCS, SHARE = 10, 0.1
@@ -104,10 +106,14 @@ def removed_words(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOC
     line = own.select("doc_id", "key", "host", F.explode(F.split("text", "\n")).alias("raw"))
     plain = F.lower(F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")))
     line = line.select("doc_id", "key", "host", F.regexp_count("raw", F.lit(WORD)).alias("n"), F.xxhash64(plain).alias("line")).filter("n > 0")
-    # one row per line of a document: repeats are added up before anything is shuffled
-    line = line.groupBy("host", "line", "doc_id", "key").agg(F.sum("n").alias("n"))
-    limit = common_lines(line, hosts, min_docs, share).alias("c")
-    line = line.alias("l")
+    limit = materialize(common_lines(line, hosts, min_docs, share))
+    if (limit.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 24)).first()[0] or 0) <= BROADCAST_BYTES:
+        # measured to be small: only the lines above the limit are shuffled
+        limit = F.broadcast(limit)
+    else:
+        # one row per line of a document: repeats are added up before anything is shuffled
+        line = line.groupBy("host", "line", "doc_id", "key").agg(F.sum("n").alias("n"))
+    limit, line = limit.alias("c"), line.alias("l")
     hit = line.join(limit, F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.line") == F.col("c.line")))
     # identical rows (same doc_id and text) have their lines summed together: divide by their number
     copies = own.groupBy("doc_id", "key", "host").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")

@@ -102,3 +102,11 @@ def test_rules_on_repeated_rows(spark):
 
 def test_testdata_is_there():
     assert os.path.exists(f"{SF}/documents.parquet")
+
+
+def test_few_removed_lines_go_to_the_documents(spark):
+    """Only lines above the limit are shuffled with their documents."""
+    rows = [(i, f"common line of words\nown line number {i} with several words", "s") for i in range(30)]
+    got = quality_rules.removed_words(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["removed"] for r in got.collect()} == {4} and got.count() == 30
+    assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
